@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .pii import op8_pii
+from .quality_rules import op6_quality_rules
+from .url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality_rules": op6_quality_rules,
     "op8_pii": op8_pii,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
