@@ -111,3 +111,31 @@ def map_rows(df: DataFrame, inputs: list[str], fn, new: dict[str, str], keep: li
                 yield pa.RecordBatch.from_arrays(arrays, names=[*passed, *new])
 
     return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` labelled documents (doc_id, text, y) that may be learnt from; y is 0.0 or 1.0.
+
+    The sample is the first ``most`` ids in the order of their hash, so it does not depend on
+    partitioning. A document with several labels takes their mean, at 0.5 or more 1. The ids are
+    broadcast: their number is bounded by ``most``. Of rows that share an id the smallest text counts.
+    """
+    y = (F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y")
+    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(y)
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return joined.groupBy("doc_id", "y").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+
+
+class Memo(dict):
+    """A function's values by argument, emptied when it holds ``most``."""
+
+    def __init__(self, fn, most: int = 400_000):
+        super().__init__()
+        self.fn, self.most = fn, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.fn(key)
+        return value

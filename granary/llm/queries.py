@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .pii import op8_pii
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import op6_quality_rules
 from .url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
