@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .pii import op8_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op6_quality_rules
+from .simhash import op4_simhash
 from .toxicity import op1_toxicity
 from .url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_simhash": op4_simhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_pii": op8_pii,
