@@ -10,6 +10,7 @@ from .pii import op8_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op6_quality_rules
 from .simhash import op4_simhash
+from .substring_dedup import op7_substring_dedup
 from .toxicity import op1_toxicity
 from .url_filter import op9_url_filter
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
 }
