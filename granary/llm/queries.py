@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontamination
 from .pii import op8_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op6_quality_rules
@@ -16,6 +17,7 @@ from .url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
