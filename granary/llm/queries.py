@@ -10,6 +10,7 @@ from .decontaminate import op3_decontamination
 from .pii import op8_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op6_quality_rules
+from .sentencepiece_sampling import op2_sentencepiece
 from .simhash import op4_simhash
 from .substring_dedup import op7_substring_dedup
 from .toxicity import op1_toxicity
@@ -17,6 +18,7 @@ from .url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_quality_classifier": op5_quality_classifier,
