@@ -195,6 +195,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     def firsts(found: DataFrame, keys: list[str]) -> DataFrame:
         """Rows whose key also occurs in a document with a smaller id."""
         least = found.groupBy(*keys).agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select(*keys, "least")
+        least = materialize(least, "least")  # the join then stands on two plain exchanges, which adaptive execution can split
+        settle(spark)
         return found.join(least, keys).filter("least < ord")
 
     keyed = "ord long, k1 long, k2 long"
