@@ -10,7 +10,7 @@ of equals), so equal windows have equal anchors at equal offsets. The steps:
    a document with a smaller id is a maximal repeat as it is, and its windows need no further look;
    they cannot be the first of their kind either, so nothing is lost by leaving them out below.
 2. Seeds: of the anchors in the remaining blocks, those that occur in two or more documents.
-3. Windows over these seeds are compared by their hashes (128 bits) with the smallest doc_id that
+3. Windows over these seeds are compared by their hashes (96 bits) with the smallest doc_id that
    has them, and neighbouring repeats merge into maximal runs over the length threshold.
 
 Cost at scale: the texts move once, into a table bucketed by row, so the later joins of texts with
@@ -60,10 +60,6 @@ class Seeds:
             inside = np.flatnonzero(self.doc[: size - window + 1] == self.doc[window - 1 :])
             self.windows, self.anchor = inside, inside + low[inside]
 
-    def occurrences(self) -> np.ndarray:
-        """Distinct anchor places, in order."""
-        return np.unique(self.anchor)
-
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first window, last window, number within its text) of each block, and per window its block in ``self.block_of``."""
         if not len(self.windows):
@@ -134,7 +130,8 @@ def open_windows(s: Seeds, b) -> np.ndarray:
 
 
 def emit_anchors(s: Seeds, b):
-    at = np.unique(s.anchor[open_windows(s, b)])
+    a = s.anchor[open_windows(s, b)]  # rises along the text
+    at = a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
     doc = s.doc[at] if len(at) else at
     return {"anchor": i64(s.grams[at]), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "pos": (at - s.base[doc]).astype(np.int32)}
 
@@ -145,7 +142,7 @@ def emit_windows(s: Seeds, b):
     w = open_windows(s, b)
     w = s.windows[w[np.isin(s.anchor[w], chosen)]]
     doc = s.doc[w] if len(w) else w
-    return {"w1": i64(s.hasher.spans(s.h, w, w + s.window)), "w2": i64(s.hasher.spans(s.h, w, w + s.window, 1)), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "start": (w - s.base[doc]).astype(np.int32)}
+    return {"w1": i64(s.hasher.spans(s.h, w, w + s.window)), "w2": s.hasher.spans(s.h, w, w + s.window, 1).astype(np.int32), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "start": (w - s.base[doc]).astype(np.int32)}
 
 
 def emit_result(s: Seeds, b):
@@ -210,7 +207,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     places = materialize(anchors.join(seeds, "anchor", "left_semi").groupBy(*KEYS).agg(F.collect_set("pos").alias("seeds")), "seed-places")
     release(seeds)
     settle(spark)
-    windows = over_texts(replied(known).join(places.hint("shuffle_hash"), KEYS), emit_windows, f"w1 long, w2 long, {keyed}, start int")
+    windows = over_texts(replied(known).join(places.hint("shuffle_hash"), KEYS), emit_windows, f"w1 long, w2 int, {keyed}, start int")
     starts = materialize(firsts(windows, ["w1", "w2"]).groupBy(*KEYS).agg(F.collect_set("start").alias("starts")), "repeat-starts")
     release(places)
     settle(spark)
