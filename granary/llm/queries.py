@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import ORACLE as CHAT_SQL
+from .chat_format import op10_chat_format
 from .decontaminate import op3_decontamination
 from .pii import op8_pii
 from .quality_classifier import op5_quality_classifier
@@ -26,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat_format": CHAT_SQL,
+}
