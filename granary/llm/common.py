@@ -82,11 +82,12 @@ def slices(sizes: list[int], most: int = BATCH_BYTES) -> list[tuple[int, int]]:
     return out + ([(start, len(sizes) - start)] if len(sizes) > start else [])
 
 
-def map_rows(df: DataFrame, inputs: list[str], fn, new: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, inputs: list[str], fn, new: dict[str, str], keep: list[str] | None = None, most: int = BATCH_BYTES) -> DataFrame:
     """Add or replace the columns ``new`` (name: type) by ``fn``, which gets a list of values of each input column.
 
     Rows pass in Arrow batches and all other columns pass through as they are, so nulls and wide
-    integers survive. ``keep`` names the columns to pass through (default: all).
+    integers survive. ``keep`` names the columns to pass through (default: all). ``fn`` gets rows of
+    about ``most`` bytes of the first input at a time.
     """
     import pyarrow as pa
     import pyarrow.compute  # noqa: F401
@@ -104,7 +105,7 @@ def map_rows(df: DataFrame, inputs: list[str], fn, new: dict[str, str], keep: li
         for whole in batches:
             col = whole.column(inputs[0])
             sizes = [max(1, n or 0) for n in pa.compute.binary_length(col).to_pylist()] if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else [1] * len(col)
-            for start, n in slices(sizes):
+            for start, n in slices(sizes, most):
                 b = whole.slice(start, n)
                 made = fn(*[b.column(c).to_pylist() for c in inputs])
                 arrays = [b.column(c) for c in passed] + [x if isinstance(x := made[c], pa.Array) and x.type == arrow[c] else pa.array(x, arrow[c]) for c in new]

@@ -25,7 +25,7 @@ column is replaced. The path of the vocabulary file is a parameter; it is read o
 from __future__ import annotations
 
 import heapq
-import re
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +36,12 @@ from .wordhash import GOLD, Hasher, U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, ALPHA, SAMPLES, SEED = 2.7, 1.0, 2, 17
+#: Bytes of text that share lattices; a worker holds about 50 times as much.
+BATCH = 3 << 20
 #: Rank given to pieces without one (runs of blanks).
 BLANK_RANK = 40.0
+EMPTY = U((1 << 64) - 1)
 SPACE, ESCAPED = "▁", "\ud800"  # the second stands for a literal U+2581 of the text, which only bytes can spell
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def vocabulary(path: str = MODEL) -> dict:
@@ -74,16 +76,20 @@ class Codec:
                 s = edges[s, c]
             piece_of[s], weight_of[s] = i, -alpha * float(np.log(rank + OFFSET))
         key = np.array([s << 21 | ord(c) for s, c in edges], np.uint64)
-        bits = 20
+        bits = 19
         self.shift = U(64 - bits)
-        self.slot_key, self.slot_to = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits, np.int32)
+        self.slot_key, self.slot_to = np.full(1 << bits, EMPTY), np.zeros(1 << bits, np.int32)
         self.probes = 1
         for k, slot, to in zip(key.tolist(), ((key * GOLD) >> self.shift).tolist(), edges.values(), strict=True):
             tries = 1
-            while self.slot_key[slot] != U((1 << 64) - 1):
+            while self.slot_key[slot] != EMPTY:
                 slot, tries = (slot + 1) % (1 << bits), tries + 1
             self.slot_key[slot], self.slot_to[slot] = k, to
             self.probes = max(self.probes, tries)
+        self.root = np.zeros(0x110000, np.int32)
+        for (s, c), to in edges.items():
+            if s == 0:
+                self.root[ord(c)] = to
         self.piece_of, self.weight_of = np.array(piece_of, np.int32), np.array(weight_of)
         self.byte_weight = -alpha * float(np.log(max(r for _, _, r in vocab["pieces"]) + OFFSET))
         self.byte_ids = np.array(vocab["bytes"], np.int32)
@@ -99,10 +105,17 @@ class Codec:
         """Next trie state, 0 where there is none."""
         key = state.astype(np.uint64) << U(21) | char.astype(np.uint64)
         slot = ((key * GOLD) >> self.shift).astype(np.int64)
-        out = np.where(self.slot_key[slot] == key, self.slot_to[slot], 0)
+        there = self.slot_key[slot]
+        out = np.where(there == key, self.slot_to[slot], 0)
+        look = np.flatnonzero((there != key) & (there != EMPTY))
         for p in range(1, self.probes):
-            at = (slot + p) % len(self.slot_key)
-            out = np.where((out == 0) & (self.slot_key[at] == key), self.slot_to[at], out)
+            at = (slot[look] + p) % len(self.slot_key)
+            there = self.slot_key[at]
+            hit = there == key[look]
+            out[look[hit]] = self.slot_to[at[hit]]
+            look = look[~hit & (there != EMPTY)]
+            if not len(look):
+                break
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -112,20 +125,34 @@ class Codec:
         return self.spelled[at].tobytes()
 
 
+def distinct_words(cp: np.ndarray, start: np.ndarray, size: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each word, characters of the distinct words, their lengths). Words are told apart by hash and compared in full."""
+    h = hasher.spans(mix(cp.astype(np.uint64)), start, start + size)
+    _, chosen, number = np.unique(h, return_index=True, return_inverse=True)
+    lengths = size[chosen]
+    ends = np.cumsum(lengths)
+    words = cp[np.repeat(start[chosen] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.repeat((ends - lengths)[number] - start, size) + np.arange(len(cp))
+    if (lengths[number] != size).any() or (words[np.minimum(at, max(0, len(words) - 1))] != cp).any():  # a collision
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(cp[a : a + n].tobytes(), len(known)) for a, n in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
+        lengths = np.array([len(w) // 4 for w in known], np.int64)
+        words = np.frombuffer(b"".join(known), np.int32)
+    return number, words, lengths
+
+
 class Lattice:
     """Lattices of distinct words: nodes are characters, cells are pieces that start at a node."""
 
-    def __init__(self, codec: Codec, words: list[str]):
-        text = "".join(words)
-        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, codec: Codec, cp: np.ndarray, size: np.ndarray):
+        """cp: the characters of all words; size: the length of each."""
         stop = np.cumsum(size)
         self.first = stop - size
         left = (np.repeat(stop, size) - np.arange(len(cp))).astype(np.int32)  # characters to the word's end
         found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # nodes, length, weights, pieces
-        at, state = np.arange(len(cp), dtype=np.int32), np.zeros(len(cp), np.int32)
+        at, state = np.arange(len(cp), dtype=np.int32), np.zeros(0, np.int32)
         for n in range(1, codec.deepest + 1):
-            state = codec.step(state, cp[at + (n - 1)])
+            state = codec.root[cp] if n == 1 else codec.step(state, cp[at + (n - 1)])
             live = state > 0
             at, state = at[live], state[live]
             hit = codec.piece_of[state] >= 0
@@ -204,20 +231,29 @@ def truncated_gumbel(place, top, u):
     return np.where(np.isneginf(place), -np.inf, g)
 
 
+def scalar_gumbel(place: float, top: float, u: float) -> float:
+    a, b = -top, math.log(-math.log(u)) - place
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
 class Batch:
     """Samples of a batch of texts."""
 
-    def __init__(self, codec: Codec, texts: list[str], keys: np.ndarray):
-        self.codec = codec
-        words, self.counts = [], []
-        for t in texts:
-            ws = WORD.findall(SPACE + t.replace(SPACE, ESCAPED).replace(" ", SPACE)) if t else []
-            words += ws
-            self.counts.append(len(ws))
-        number = dict.fromkeys(words)
-        number = dict(zip(number, range(len(number)), strict=True))
-        self.word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        self.lattice = Lattice(codec, list(number)) if number else None
+    def __init__(self, codec: Codec, texts: list[str], keys: np.ndarray, hasher: Hasher | None = None):
+        self.codec, hasher = codec, hasher or Hasher()
+        cp = np.frombuffer("".join([f" {t}" if t else "" for t in texts]).encode("utf-32-le", "surrogatepass"), np.int32)
+        sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+        opens = np.cumsum(sizes) - sizes
+        blank = cp == 0x20
+        cp = np.where(blank, ord(SPACE), np.where(cp == ord(SPACE), ord(ESCAPED), cp))
+        first = blank.copy()  # a word starts with a run of blanks
+        first[1:] &= ~blank[:-1]
+        first[opens[sizes > 0]] = True
+        start = np.flatnonzero(first)
+        size = np.diff(np.r_[start, len(cp)])
+        self.counts = np.diff(np.searchsorted(start, np.r_[opens, len(cp)]))
+        self.word, words, lengths = distinct_words(cp, start, size, hasher)
+        self.lattice = Lattice(codec, words, lengths) if len(lengths) else None
         self.n, self.keys = len(texts), keys
         self.bound = np.r_[0, np.cumsum(self.counts)].astype(np.int64)
         self.text_of = np.repeat(np.arange(self.n), self.counts)
@@ -252,7 +288,7 @@ class Batch:
             if not self.counts[t]:
                 out[t].append({"log_prob": 0.0, "value": float(first[t]), "path": -1, "begin": 0, "end": 0})
         queue: list[list] = [[] for _ in range(self.n)]
-        live = np.flatnonzero(np.array(self.counts))
+        live = np.flatnonzero(self.counts)
         tops, paths, fixed = first.copy(), [], None
         for r in range(k):
             if not len(live):
@@ -308,17 +344,19 @@ class Batch:
                 place = (j - np.repeat(lo, n))[pick]
                 g[own[pick], place] = truncated_gumbel(alt[pick], tops[t[pick]], u)
                 best = np.argsort(-g, axis=1, kind="stable")[:, :most]
-                for i in np.flatnonzero(done).tolist():
-                    text = int(live[i])
-                    for x in best[i].tolist():
-                        if np.isfinite(g[i, x]):
-                            at = int(lo[i]) + x
-                            heapq.heappush(queue[text], (-float(g[i, x]), r, at - int(begin[text]), (int(flat[at]),), float(sums[at] - sums[begin[text]])))
+                value = np.take_along_axis(g, best, 1)
+                row, col = np.nonzero(np.isfinite(value) & done[:, None])
+                at = lo[row] + best[row, col]
+                text = live[row]
+                items = zip(text.tolist(), (-value[row, col]).tolist(), (at - begin[text]).tolist(), flat[at].tolist(), (sums[at] - sums[begin[text]]).tolist(), strict=True)
+                for x, g_x, spot, cell, mass in items:
+                    heapq.heappush(queue[x], (g_x, r, spot, (cell,), mass))
             live, reach = live[~done], reach * 4
 
     def branch(self, live, queue, paths, out, r):
         """Pop the best group of each text, draw one of its children and walk on from there."""
         lat, picked = self.lattice, {}
+        pick_u, again_u = uniform(counter(self.keys, r, 3)).tolist(), uniform(counter(self.keys, r, 4)).tolist()
         for t in live.tolist():
             if not queue[t]:
                 continue
@@ -326,13 +364,15 @@ class Batch:
             flat, begin = paths[path]
             node = int(lat.node[taken[0]])
             cells = [c for c in range(int(lat.begin[node]), int(lat.begin[node + 1])) if c not in taken]
-            w = np.exp(lat.logp[cells])
-            u = float(uniform(counter(self.keys[t : t + 1], r, 3))[0])
-            child = cells[min(len(cells) - 1, int(np.searchsorted(np.cumsum(w) / w.sum(), u, side="right")))]
-            rest = [c for c in cells if c != child]
-            if rest:
-                alt = before + float(np.log(np.exp(lat.logp[rest]).sum()))
-                again = float(truncated_gumbel(alt, -value, float(uniform(counter(self.keys[t : t + 1], r, 4))[0])))
+            w = [math.exp(x) for x in lat.logp[cells].tolist()]
+            u, child = pick_u[t] * sum(w), 0
+            while child < len(cells) - 1 and u >= w[child]:
+                u -= w[child]
+                child += 1
+            mass = sum(w[:child]) + sum(w[child + 1 :])
+            child = cells[child]
+            if mass > 0:
+                again = scalar_gumbel(before + math.log(mass), -value, again_u[t])
                 heapq.heappush(queue[t], (-again, path, spot, (*taken, child), before))
             picked[t] = (-value, path, spot, child)
         live = np.array(sorted(picked), np.int64)
@@ -390,7 +430,7 @@ def sample_segmentations(docs: DataFrame, vocab: dict, keys: list[str], text: st
             made["codec"], made["hasher"] = Codec(vocab, alpha), Hasher()
         codec, hasher = made["codec"], made["hasher"]
         raw = [t or "" for t in texts]
-        batch = Batch(codec, raw, np.array([x % (1 << 64) for x in row_keys], np.uint64))
+        batch = Batch(codec, raw, np.array(row_keys, np.int64).view(np.uint64), hasher)
         found = batch.samples(k)
         spelled = []
         for flat in batch.paths:
@@ -410,7 +450,7 @@ def sample_segmentations(docs: DataFrame, vocab: dict, keys: list[str], text: st
 
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), *keys))
     kind = SAMPLE_TYPE.format(ids=",ids:array<int>" if ids else "")
-    return map_rows(keyed, [text, "__key"], run, {out: kind}, keep=docs.columns)
+    return map_rows(keyed, [text, "__key"], run, {out: kind}, keep=docs.columns, most=BATCH)
 
 
 def decode(ids: list[int], codec: Codec) -> str:
