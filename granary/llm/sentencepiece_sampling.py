@@ -37,7 +37,7 @@ from .wordhash import GOLD, Hasher, U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, ALPHA, SAMPLES, SEED = 2.7, 1.0, 2, 17
 #: Bytes of text that share lattices; a worker holds about 50 times as much.
-BATCH = 3 << 20
+BATCH = 9 << 19
 #: Rank given to pieces without one (runs of blanks).
 BLANK_RANK = 40.0
 EMPTY = U((1 << 64) - 1)
@@ -127,7 +127,7 @@ class Codec:
 
 def distinct_words(cp: np.ndarray, start: np.ndarray, size: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each word, characters of the distinct words, their lengths). Words are told apart by hash and compared in full."""
-    h = hasher.spans(mix(cp.astype(np.uint64)), start, start + size)
+    h = hasher.spans((cp + 1).astype(np.uint64) * GOLD, start, start + size)
     _, chosen, number = np.unique(h, return_index=True, return_inverse=True)
     lengths = size[chosen]
     ends = np.cumsum(lengths)
@@ -171,7 +171,7 @@ class Lattice:
         count = np.zeros(len(cp), np.int32)
         for nodes, *_ in found:
             count[nodes] += 1
-        self.begin = np.r_[0, np.cumsum(count)]
+        self.begin = np.r_[0, np.cumsum(count)].astype(np.int32)
         filled = self.begin[:-1].copy()
         total = int(self.begin[-1])
         weight, self.piece, self.after = np.zeros(total), np.zeros(total, np.int32), np.zeros(total, np.int32)
