@@ -124,7 +124,7 @@ def markdown_links(c: Column) -> Column:
 
 
 def wikilinks(c: Column) -> Column:
-    return F.transform(all_matches(c, r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", 1), F.trim)
+    return F.transform(all_matches(c, r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", 1), lambda x: F.trim(x))
 
 
 def footnotes(c: Column) -> Column:
