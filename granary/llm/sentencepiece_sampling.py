@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,7 @@ def vocabulary(path: str = MODEL) -> dict:
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             score = sp.get_score(i)
             pieces.append((sp.id_to_piece(i), i, -score if score > -1e8 else BLANK_RANK))
-    return {"pieces": pieces, "bytes": byte_ids, "size": sp.get_piece_size()}
+    return {"pieces": pieces, "bytes": byte_ids, "size": sp.get_piece_size(), "digest": zlib.crc32(repr((pieces, byte_ids)).encode())}
 
 
 class Codec:
@@ -141,6 +142,18 @@ def distinct_words(cp: np.ndarray, start: np.ndarray, size: np.ndarray, hasher:
     return number, words, lengths
 
 
+MADE: dict[tuple, tuple[Codec, Hasher]] = {}
+
+
+def shared_codec(vocab: dict, alpha: float) -> tuple[Codec, Hasher]:
+    """One codec for each vocabulary and worker process."""
+    key = (vocab["digest"], alpha)
+    if key not in MADE:
+        MADE.clear()
+        MADE[key] = Codec(vocab, alpha), Hasher()
+    return MADE[key]
+
+
 class Lattice:
     """Lattices of distinct words: nodes are characters, cells are pieces that start at a node."""
 
@@ -175,7 +188,7 @@ class Lattice:
         filled = self.begin[:-1].copy()
         total = int(self.begin[-1])
         weight, self.piece, self.after = np.zeros(total), np.zeros(total, np.int32), np.zeros(total, np.int32)
-        for nodes, n, w, ids in found:  # cells of a node by rising length
+        for nodes, n, w, ids in reversed(found):  # cells of a node by falling length: long pieces are likely
             slot = filled[nodes]
             weight[slot], self.piece[slot], self.after[slot] = w, ids, nodes + np.int32(n)
             filled[nodes] += 1
@@ -423,12 +436,9 @@ def sample_segmentations(docs: DataFrame, vocab: dict, keys: list[str], text: st
 
     ``keys`` are the columns that seed a row; with ``ids`` the piece ids are returned as well.
     """
-    made: dict[str, object] = {}
 
     def run(texts: list[str | None], row_keys: list[int]) -> dict[str, list]:
-        if not made:
-            made["codec"], made["hasher"] = Codec(vocab, alpha), Hasher()
-        codec, hasher = made["codec"], made["hasher"]
+        codec, hasher = shared_codec(vocab, alpha)
         raw = [t or "" for t in texts]
         batch = Batch(codec, raw, np.array(row_keys, np.int64).view(np.uint64), hasher)
         found = batch.samples(k)
