@@ -131,7 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 class Memo(dict):
     """A function's values by argument, emptied when it holds ``most``."""
 
-    def __init__(self, fn, most: int = 400_000):
+    def __init__(self, fn, most: int = 200_000):
         super().__init__()
         self.fn, self.most = fn, most
 

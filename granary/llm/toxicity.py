@@ -102,7 +102,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         for b in batches:
             for t in b.column(0):
                 words.update(t.as_py().decode("utf-8", "replace").lower().split())
-                if len(words) > 300_000:
+                if len(words) > 100_000:
                     total += count_trigrams(words)
                     words = Counter()
         total += count_trigrams(words)
