@@ -29,6 +29,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, read_table
+from .common import free_name, map_rows, read_table
 from .wordhash import GOLD, Hasher, U, groups, mix
 
 SHARE, REPEATS, SAMPLED, STRETCH = 0.2, 12, 2, 3
@@ -221,7 +221,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that leak no item, with their columns."""
-    return find_leaks(docs, items, text, "__leaks").filter(F.size("__leaks") == 0).drop("__leaks").select(*docs.columns)
+    leaks = free_name(docs, "__leaks")
+    return find_leaks(docs, items, text, leaks).filter(F.size(leaks) == 0).select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,18 +144,18 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def find_pii(docs: DataFrame, text: str = "text", least: float = 0.4, redacted: str | None = None) -> DataFrame:
-    """Add ``spans`` (kind, start, end, score) to each row and, if ``redacted`` names a column, the text with spans replaced.
+def find_pii(docs: DataFrame, text: str = "text", least: float = 0.4, redacted: str | None = None, out: str = "spans") -> DataFrame:
+    """Add ``out`` (kind, start, end, score) to each row and, if ``redacted`` names a column, the text with spans replaced.
 
     No shuffle: each row is judged alone, in Arrow batches.
     """
 
     def run(texts: list[str | None]) -> dict[str, list]:
         found = [find_spans(t, least) for t in texts]
-        out = {"spans": [[{"kind": k, "start": a, "end": e, "score": s} for k, a, e, s in f] for f in found]}
-        return out | ({redacted: [t if not s else redact(t, s) for t, s in zip(texts, found, strict=True)]} if redacted else {})
+        made = {out: [[{"kind": k, "start": a, "end": e, "score": s} for k, a, e, s in f] for f in found]}
+        return made | ({redacted: [t if not s else redact(t, s) for t, s in zip(texts, found, strict=True)]} if redacted else {})
 
-    return map_rows(docs, [text], run, {"spans": SPAN_TYPE} | ({redacted: "string"} if redacted else {}))
+    return map_rows(docs, [text], run, {out: SPAN_TYPE} | ({redacted: "string"} if redacted else {}))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

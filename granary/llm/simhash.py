@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, read_table, text_bytes
+from .common import free_name, map_rows, materialize, read_table, text_bytes
 from .components import connected_components
 
 BITS, MOST, SHINGLE, SEED = 64, 4, 4, 42
@@ -282,13 +282,15 @@ def classes(prints: DataFrame, most: int = MOST) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", most: int = MOST) -> DataFrame:
     """Keep one row of each group: the one with the smallest doc_id (null last), then the smallest text hash."""
-    numbered = materialize(add_fingerprint(docs.select("*", text_bytes(text).alias("__b")), "__b", "__fp").drop("__b").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text), F.col("__row"))
-    firsts = materialize(numbered.groupBy("__fp").agg(F.min(order).alias("o")), "firsts")
-    roots = connected_components(link(firsts.select(F.col("__fp").alias("fp")), most))
-    rooted = firsts.join(roots.select(F.col("node").alias("__fp"), "root"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    keep = rooted.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.__row").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").select(*docs.columns)
+    raw, fp, row = (free_name(docs, c) for c in ("__bytes", "__fp", "__row"))
+    numbered = add_fingerprint(docs.withColumn(raw, text_bytes(text)), raw, fp).drop(raw).withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text), F.col(row).alias("row"))
+    firsts = materialize(numbered.select(F.col(fp).alias("fp"), order.alias("o")).groupBy("fp").agg(F.min("o").alias("o")), "firsts")
+    roots = connected_components(link(firsts.select("fp"), most))
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = rooted.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias(row))
+    return numbered.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
