@@ -11,7 +11,8 @@
 3. Restored words, with runs squeezed to one letter, and their prefixes are looked up in a lexicon
    learnt from the labels: features for which the lower confidence limit of the share of toxic
    documents among those that contain it is at least ``LEAST_SHARE``, weighted by a logistic
-   regression on their presence. A document's score is that regression's probability.
+   regression on their presence. A document's score is that regression's probability, or the lower
+   limit of its surest whole word if that is larger.
 
 Learning takes at most ``MAX_LABELLED`` labelled rows and keeps at most ``MAX_FEATURES`` features
 (bounds of the method); the character counts cover all documents. Null texts count as empty and get
@@ -49,6 +50,8 @@ SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_SECOND, DROP_THIRD, KEEP_SIGN, SPLIT = -0
 WEIGHTS = (0.75, 0.2, 0.05)  # of trigram, bigram and single counts
 
 MAX_LABELLED, MAX_FEATURES, CONFIDENCE, LEAST_SHARE = 20_000, 5_000, 2.0, 0.5
+#: A whole word whose lower limit is at least this speaks for itself, however many others usually stand beside it.
+ALONE = 0.8
 PREFIXES = (4, 5, 6, 7, 8)
 RUN = re.compile(r"(.)\1\1")
 PAIR = re.compile(r"(.)\1+")
@@ -247,7 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     kept = map_rows(rows, ["features"], keep, {"ids": "array<int>"}, keep=["y"]).toArrow()
     bias, weights = logistic(kept["ids"].to_pylist(), kept["y"].to_numpy(), len(chosen))
-    return {"table": table, "prior": bias, "lexicon": {f: weights[k] for f, k in chosen.items()}}
+    alone = {r.f: math.log(low / (1 - low)) for r in got if (low := min(r.low, 0.999)) >= ALONE and not r.f.endswith("*")}
+    return {"table": table, "prior": bias, "lexicon": {f: weights[k] for f, k in chosen.items()}, "alone": alone}
 
 
 def logistic(ids: list[list[int]], y: np.ndarray, n: int, steps: int = 600, rate: float = 0.3, decay: float = 0.02) -> tuple[float, list[float]]:
@@ -271,7 +275,7 @@ def logistic(ids: list[list[int]], y: np.ndarray, n: int, steps: int = 600, rate
 
 def score_documents(docs: DataFrame, model: dict, text: str = "text", out: str = "score", restored: str | None = None) -> DataFrame:
     """Add the toxicity of each whole text and, if ``restored`` names a column, the restored text."""
-    table, lexicon, prior = model["table"], model["lexicon"], model["prior"]
+    table, lexicon, prior, alone = model["table"], model["lexicon"], model["prior"], model["alone"]
     kept: dict[int, Memo] = {}
 
     def hits(token: str):
@@ -288,7 +292,7 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text", out: str =
                     found.update(h)
             for r in spaced_runs(tokens):
                 found.update(f for w in viterbi(r, table).split() for f in word_features(w) if f in lexicon)
-            z = max(-30.0, prior + sum(sorted(lexicon[f] for f in found)))
+            z = max(-30.0, prior + sum(sorted(lexicon[f] for f in found)), *(alone[f] for f in found if f in alone))
             scores.append(1 / (1 + math.exp(-min(30.0, z))))
         made = {out: scores}
         return made | ({restored: [None if t is None else restore(t, table) for t in texts]} if restored else {})
