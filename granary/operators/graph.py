@@ -109,6 +109,11 @@ def neighbours(edges: DataFrame, reverse_factor: float) -> DataFrame:
     return edges.select("src", "dst", "kind", "w").unionByName(back)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A level that later ones read several times: written to the session's checkpoint folder if it has one, else cached (and made anew if lost)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def walk(nodes: DataFrame, edges: DataFrame, entries: DataFrame, cfg: WalkConfig = WalkConfig()) -> DataFrame:
     """(query_id, concept_id, score, hop, via, position); nodes: concept_id, entity_type; entries: query_id, concept_id, pos."""
     kinds = nodes.select("concept_id", "entity_type")
@@ -128,6 +133,7 @@ def walk(nodes: DataFrame, edges: DataFrame, entries: DataFrame, cfg: WalkConfig
         fresh = F.when(F.col("__old").isNull() & F.col("__max").isNull(), 1).otherwise(0)
         rows = rows.withColumn("__n", F.coalesce("__base", F.lit(0)) + F.sum(fresh).over(W.partitionBy("query_id").orderBy("ord")))
         got = rows.select("query_id", "concept_id", "score", "hop", "via", "ord", "entity_type", "__n")
+        got = held(got) if hop < cfg.max_hops else got
         accepted = got.drop("__n", "entity_type") if accepted is None else accepted.unionByName(got.drop("__n", "entity_type"))
         if hop == cfg.max_hops:
             break

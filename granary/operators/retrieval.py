@@ -1,7 +1,7 @@
 """Hybrid retrieval: exact dense and sparse top-k, rank fusion, rerank, gate, presentation.
 
 Frames are keyed by query_id, so a batch of queries is one plan. The query side of a scan is
-broadcast: it is a stated query set, of ``MOST_QUERIES`` rows at most, scored against all rows.
+broadcast: it is a stated query set, taken in blocks of about ``MOST_QUERIES`` rows, scored against all rows.
 Top-k uses row_number() <= k, which Spark plans as a group limit before the shuffle.
 """
 
@@ -31,11 +31,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DENSE_TOP, keep: Column | None = None) -> DataFrame:
-    """Exact cosine top-k. vectors: doc_id, embedding; queries: query_id, embedding; ``keep`` filters before scoring."""
+    """Exact cosine top-k. vectors: doc_id, embedding; queries: query_id, embedding; ``keep`` filters before scoring.
+
+    Queries are broadcast in blocks of at most about MOST_QUERIES rows, each block against all vectors.
+    """
     v = vectors if keep is None else vectors.filter(keep)
-    q = queries.select("query_id", F.col("embedding").alias("__q")).limit(MOST_QUERIES)
-    scored = v.join(F.broadcast(q), F.lit(True)).select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("__q")), 6).alias("score"))
-    return topk(scored, k)
+    q = queries.select("query_id", F.col("embedding").alias("__q"))
+    blocks = -(-max(1, q.count()) // MOST_QUERIES)
+    out = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = v.join(F.broadcast(part), F.lit(True)).select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("__q")), 6).alias("score"))
+        out = topk(scored, k) if out is None else out.unionByName(topk(scored, k))
+    return out
 
 
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -64,3 +64,26 @@ def join_spans(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s.text)
     seam = lambda a, t: F.when((a != "") & (t != "") & (F.right(a, F.lit(1)) == F.left(t, F.lit(1))), F.concat(a, F.substring(t, 2, 1 << 30))).otherwise(F.concat(a, t))
     return line.groupBy("page", "row").agg(F.aggregate(parts, F.lit(""), seam).alias("line"))
+
+
+def extract_pages(spark: SparkSession, folder: str, extractor, pattern: str = "*.pdf") -> DataFrame:
+    """(path, page, text) of binary documents; ``extractor`` turns a document's bytes into page texts, in Python workers.
+
+    The library that reads a format is the caller's: none is bundled. An unreadable document gives one
+    row with a null page and the error as its text.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows += [(path, k + 1, t) for k, t in enumerate(extractor(bytes(content)))]
+                except Exception as e:  # a broken document must not end the scan
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text"]).astype({"page": "Int64"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInPandas(run, "path string, page long, text string")
