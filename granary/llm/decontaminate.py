@@ -137,7 +137,7 @@ def matches(items: Items, texts: list[str | None]) -> list[list[tuple[int, int,
     """For each text (item number, distance, first word of the search region) of the items that it leaks."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     raw = [plain(t) for t in texts]
-    for a, e in groups(raw):
+    for a, e in groups(raw, 1 << 20):
         h, doc, *_ = items.hasher.words(raw[a:e])
         if not len(h) or not len(items.n):
             continue

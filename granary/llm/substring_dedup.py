@@ -41,6 +41,16 @@ WINDOW, SEED, PER_BLOCK = 13, 4, 8
 KEYS = ["k1", "k2"]
 
 
+def first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Offset of the least of each ``width`` consecutive numbers by all but their lowest bits, the first of equals."""
+    bits = U((1 << max(1, (width - 1).bit_length())) - 1)
+    high, n = x & ~bits, len(x) - width + 1
+    best = high[:n].copy()
+    for j in range(1, width):
+        np.minimum(best, high[j : j + n] | U(j), out=best)
+    return (best & bits).astype(np.int64)
+
+
 class Seeds:
     """Windows, anchors and blocks of a group of texts (all numbers are word numbers in the group)."""
 
@@ -56,7 +66,7 @@ class Seeds:
         else:
             at = np.arange(size - seed + 1)
             self.grams = hasher.spans(self.h, at, at + seed)
-            low = np.lib.stride_tricks.sliding_window_view(self.grams, window - seed + 1).argmin(axis=1)
+            low = first_least(self.grams, window - seed + 1)
             inside = np.flatnonzero(self.doc[: size - window + 1] == self.doc[window - 1 :])
             self.windows, self.anchor = inside, inside + low[inside]
 

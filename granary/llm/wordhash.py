@@ -74,7 +74,7 @@ class Hasher:
         return mix(x ^ ((end - start).astype(np.uint64) * GOLD))
 
 
-def groups(texts: list[bytes], most: int = 1 << 21) -> list[tuple[int, int]]:
+def groups(texts: list[bytes], most: int = 1 << 18) -> list[tuple[int, int]]:
     """Consecutive ranges of texts of about ``most`` bytes together."""
     out, start, total = [], 0, 0
     for k, t in enumerate(texts):
