@@ -39,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, ALPHA, SAMPLES, SEED = 2.7, 1.0, 2, 17
 #: Bytes of text that share lattices; a worker holds about 50 times as much.
 BATCH = 9 << 19
+#: Characters of distinct words whose lattices are built at a time.
+PART = 1 << 16
 #: Rank given to pieces without one (runs of blanks).
 BLANK_RANK = 40.0
 EMPTY = U((1 << 64) - 1)
@@ -155,7 +157,34 @@ def shared_codec(vocab: dict, alpha: float) -> tuple[Codec, Hasher]:
 
 
 class Lattice:
-    """Lattices of distinct words: nodes are characters, cells are pieces that start at a node."""
+    """Lattices of distinct words: nodes are characters, cells are pieces that start at a node. Built in parts that fit in cache."""
+
+    def __init__(self, codec: Codec, cp: np.ndarray, size: np.ndarray):
+        """cp: the characters of all words; size: the length of each."""
+        stop = np.cumsum(size)
+        self.first, self.cp = stop - size, cp
+        cuts = np.unique(np.r_[0, np.searchsorted(stop, np.arange(PART, len(cp), PART)), len(size)])
+        parts = [Part(codec, cp[self.first[a] : stop[b - 1]], size[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        nodes = np.cumsum([0] + [len(p.cp) for p in parts]).tolist()
+        join = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        self.piece, self.is_last, self.logp, self.upto, self.count = map(join, ("piece", "is_last", "logp", "upto", "count"))
+        self.node = np.concatenate([p.node + np.int32(n) for p, n in zip(parts, nodes, strict=False)])
+        self.after = np.concatenate([p.after + np.int32(n) for p, n in zip(parts, nodes, strict=False)])
+        self.begin = np.r_[0, np.cumsum(self.count)].astype(np.int32)
+
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A cell of each node by its probability; u in [0, 1)."""
+        cell, last = self.begin[node].copy(), self.begin[node + 1] - 1
+        todo = np.flatnonzero((cell < last) & (self.upto[cell] <= u))
+        while len(todo):
+            cell[todo] += 1
+            c = cell[todo]
+            todo = todo[(c < last[todo]) & (self.upto[c] <= u[todo])]
+        return cell
+
+
+class Part:
+    """The lattices of some words. ``after`` of a word's last cell means nothing."""
 
     def __init__(self, codec: Codec, cp: np.ndarray, size: np.ndarray):
         """cp: the characters of all words; size: the length of each."""
@@ -212,16 +241,6 @@ class Lattice:
         sums = np.r_[0.0, np.cumsum(np.exp(self.logp))]
         self.upto = sums[1:] - np.repeat(sums[self.begin[:-1]], count)  # probability of the cells of a node up to this one
 
-    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A cell of each node by its probability; u in [0, 1)."""
-        cell, last = self.begin[node].copy(), self.begin[node + 1] - 1
-        todo = np.flatnonzero((cell < last) & (self.upto[cell] <= u))
-        while len(todo):
-            cell[todo] += 1
-            c = cell[todo]
-            todo = todo[(c < last[todo]) & (self.upto[c] <= u[todo])]
-        return cell
-
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashed counters."""
