@@ -29,7 +29,7 @@ def understand(questions: DataFrame, names: DataFrame) -> DataFrame:
     t = F.col("text")
     out = questions.join(m, "query_id", "left").withColumns({"language": detect_language(t), "intent": classify_intent(t), "category": detect_category(t)})
     eligible = (F.col("intent") == "policy_qa") & F.col("n_matches").isNotNull()
-    mode = F.when(~eligible, "rag_narrative").when(is_explanatory(t), "hybrid").when(F.col("category").isNotNull() & is_lookup(t), "okf_lookup").otherwise("hybrid")
+    mode = F.when(~eligible, "rag_narrative").when(is_explanatory(t), "hybrid").when(F.col("category").isNotNull() & is_lookup(t), "record_lookup").otherwise("hybrid")
     out = out.withColumn("retrieval_mode", mode)
     return out.withColumns({"matches": F.when(eligible, F.col("matches")).otherwise(F.lit("")), "n_matches": F.when(eligible, F.col("n_matches")).otherwise(F.lit(0)).cast("long"), "category": F.when(eligible, F.col("category"))})
 

@@ -25,18 +25,18 @@ def tiers(requests: DataFrame) -> DataFrame:
     graph_nodes, graph_trusted, graph_chunks, dominant, lookup.
     """
     rag = F.col("mode") == "rag"
-    gate = F.when(F.col("mode") == "okf", F.when(F.col("graph_nodes") == 0, "abstain").when(F.col("graph_trusted") == 0, "answer_low_confidence").otherwise("answer")).otherwise(F.col("gate"))
+    gate = F.when(F.col("mode") == "records", F.when(F.col("graph_nodes") == 0, "abstain").when(F.col("graph_trusted") == 0, "answer_low_confidence").otherwise("answer")).otherwise(F.col("gate"))
     graph_ok = ~rag & F.lit(GRAPH_OVERRIDES_GATE) & (F.col("graph_trusted") >= MIN_TRUSTED) & (F.col("graph_chunks") > 0)
-    lookup = ~rag & (F.col("retrieval_mode") == "okf_lookup") & (F.col("n_matches") == 1) & F.col("category").isNotNull() & F.col("has_rate")
+    lookup = ~rag & (F.col("retrieval_mode") == "record_lookup") & (F.col("n_matches") == 1) & F.col("category").isNotNull() & F.col("has_rate")
     tier = (
         F.when(F.col("intent").isin("greeting", "grievance"), F.col("intent"))
-        .when(lookup, "okf_lookup")
+        .when(lookup, "record_lookup")
         .when((gate == "abstain") & graph_ok, "graph")
         .when(gate == "abstain", "abstain")
-        .when((F.col("mode") != "okf") & F.col("lookup") & F.col("dominant") & (F.col("intent") == "policy_qa"), "extractive")
+        .when((F.col("mode") != "records") & F.col("lookup") & F.col("dominant") & (F.col("intent") == "policy_qa"), "extractive")
         .otherwise("synthesis")
     )
-    return requests.withColumns({"final_gate": gate, "tier": tier, "low_confidence": (gate == "answer_low_confidence") & ~tier.isin("okf_lookup", "graph", "abstain", "greeting", "grievance"), "cached": ~tier.isin("abstain", "greeting", "grievance")})
+    return requests.withColumns({"final_gate": gate, "tier": tier, "low_confidence": (gate == "answer_low_confidence") & ~tier.isin("record_lookup", "graph", "abstain", "greeting", "grievance"), "cached": ~tier.isin("abstain", "greeting", "grievance")})
 
 
 def first_of_equal(requests: DataFrame, key: str, order: str) -> DataFrame:

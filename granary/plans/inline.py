@@ -77,7 +77,7 @@ REQUIRED = values("required", "value, first, last", [("split cap follows", 3, 4)
 NAMES = values(
     "names",
     "name",
-    [("Capital Subsidy: up-to 25%",), ("  Stamp   Duty & Fees  ",), ("S7.9 > Item 1 (micro)",), ("Änderung der Förderung",), ("a" * 70,), ("---",), ("BIHAR-AMB-20",)],
+    [("Capital Subsidy: up-to 25%",), ("  Stamp   Duty & Fees  ",), ("S7.9 > Item 1 (micro)",), ("Änderung der Förderung",), ("a" * 70,), ("---",), ("SCHEME-AMB-20",)],
 )
 LINKS = values(
     "notes",

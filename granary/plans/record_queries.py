@@ -143,7 +143,7 @@ def classify_intent(s, d):
 def slug_ids(s, d):
     n = table(s, d, "part").select(F.col("p_name").alias("name")).distinct().unionByName(frame(s, NAMES, "name string"))
     c = F.col("name")
-    return n.select("name", T.slug_upper(c).alias("upper"), T.slug_lower(c).alias("lower"), T.slug_id(c).alias("id"), T.slug_name(c).alias("snake"), T.chunk_id(F.lit("SCHEME"), F.lit("v1.0"), c).alias("chunk_id"), T.local_id(F.lit("BIHAR"), c).alias("local"))
+    return n.select("name", T.slug_upper(c).alias("upper"), T.slug_lower(c).alias("lower"), T.slug_id(c).alias("id"), T.slug_name(c).alias("snake"), T.chunk_id(F.lit("SCHEME"), F.lit("v1.0"), c).alias("chunk_id"), T.local_id(F.lit("SCHEME"), c).alias("local"))
 
 
 def trust_tier(s, d):
@@ -204,7 +204,7 @@ def route(s, d):
 
 
 def structured_lookup(s, d):
-    u = understood(s, d).filter("retrieval_mode = 'okf_lookup' and n_matches = 1").withColumn("name_id", F.col("matches").cast("long"))
+    u = understood(s, d).filter("retrieval_mode = 'record_lookup' and n_matches = 1").withColumn("name_id", F.col("matches").cast("long"))
     j = u.join(named(s, d), "name_id").withColumn("rate", FA.rate_of(F.col("rates"), F.col("category")).getField("rate_text")).filter("rate is not null")
     return j.select("query_id", "name_id", FA.lookup_answer(F.col("name"), F.col("category"), F.col("rate"), T.answer_language(F.col("language"))).alias("answer"))
 
@@ -271,7 +271,7 @@ def ladder_tiers(s, d):
     u = route(s, d).join(questions(s), "query_id").withColumn("lookup", T.is_lookup(F.col("text")))
     has = structured_lookup(s, d).select("query_id", F.lit(True).alias("has_rate"))
     r = u.join(frame(s, EVIDENCE, EVIDENCE_TYPES), "query_id").join(has, "query_id", "left").withColumn("has_rate", F.coalesce("has_rate", F.lit(False)))
-    r = r.withColumn("mode", F.explode(F.array(F.lit("rag"), F.lit("okf"), F.lit("okf_rag")))).withColumn("retrieval_mode", FA.mask_mode(F.col("mode"), F.col("retrieval_mode")))
+    r = r.withColumn("mode", F.explode(F.array(F.lit("rag"), F.lit("records"), F.lit("records_rag")))).withColumn("retrieval_mode", FA.mask_mode(F.col("mode"), F.col("retrieval_mode")))
     return L.tiers(r).select("query_id", "mode", "retrieval_mode", "final_gate", "tier", "low_confidence", "cached")
 
 
@@ -370,10 +370,10 @@ MATCH = f"""{NAMED}, words AS (SELECT name_id, list_distinct(list_filter(regexp_
 ROUTE = f"""{MATCH}, m AS (SELECT query_id, string_agg(CAST(name_id AS VARCHAR), ',' ORDER BY n_words DESC, CAST(name_id AS VARCHAR)) AS ms, count(*) AS n FROM matched GROUP BY query_id),
   base AS (SELECT CAST(q.query_id AS BIGINT) AS query_id, text, {LANGUAGE} AS language, {when_sql("text", T.INTENTS, "'policy_qa'")} AS intent, {when_sql("text", T.CATEGORIES, "NULL")} AS cat, m.ms, m.n FROM ({QUESTIONS}) q LEFT JOIN m ON m.query_id = q.query_id),
   routed AS (SELECT query_id, text, language, intent, CASE WHEN ok THEN cat END AS category, CASE WHEN ok THEN ms ELSE '' END AS matches, CASE WHEN ok THEN n ELSE 0 END AS n_matches,
-    CASE WHEN NOT ok THEN 'rag_narrative' WHEN regexp_matches(text, {q(T.EXPLANATORY)}) THEN 'hybrid' WHEN cat IS NOT NULL AND regexp_matches(text, {q(T.LOOKUP)}) THEN 'okf_lookup' ELSE 'hybrid' END AS retrieval_mode
+    CASE WHEN NOT ok THEN 'rag_narrative' WHEN regexp_matches(text, {q(T.EXPLANATORY)}) THEN 'hybrid' WHEN cat IS NOT NULL AND regexp_matches(text, {q(T.LOOKUP)}) THEN 'record_lookup' ELSE 'hybrid' END AS retrieval_mode
     FROM (SELECT *, intent = 'policy_qa' AND n IS NOT NULL AS ok FROM base))"""
 LOOKED = f"""{ROUTE}, looked AS (SELECT r.query_id, n.name_id, CASE WHEN r.language = 'hi' THEN n.name || ' (' || r.category || ' उद्यम के लिए): ' || t.rate_text || '। [S1]' ELSE n.name || ' for a ' || r.category || ' enterprise: ' || t.rate_text || '. [S1]' END AS answer
-  FROM routed r JOIN named n ON CAST(n.name_id AS VARCHAR) = r.matches JOIN rated t ON t.p_name = n.name AND t.category = r.category WHERE r.retrieval_mode = 'okf_lookup' AND r.n_matches = 1)"""
+  FROM routed r JOIN named n ON CAST(n.name_id AS VARCHAR) = r.matches JOIN rated t ON t.p_name = n.name AND t.category = r.category WHERE r.retrieval_mode = 'record_lookup' AND r.n_matches = 1)"""
 LOW = "lower(coalesce(answer, ''))"
 UPPER_SLUG = "trim(left(trim(regexp_replace(upper(name), '[^A-Z0-9]+', '-', 'g'), '-'), 60), '-')"
 ID_SLUG = "trim(left(regexp_replace(lower(name), '[^a-z0-9._-]+', '-', 'g'), 40), '-')"
@@ -404,7 +404,7 @@ SQL = {
     "detect_language": f"WITH {SPOKEN} SELECT query_id, language, CASE WHEN language = 'hi' THEN 'hi' ELSE 'en' END AS answers_in FROM (SELECT query_id, {LANGUAGE} AS language FROM spoken)",
     "classify_intent": f"WITH {SPOKEN} SELECT query_id, {when_sql('text', T.INTENTS, q('policy_qa'))} AS intent, {when_sql('text', T.CATEGORIES, 'NULL')} AS category, regexp_matches(text, {q(T.EXPLANATORY)}) AS explanatory, regexp_matches(text, {q(T.LOOKUP)}) AS lookup FROM spoken",
     "slug_ids": f"""SELECT name, {UPPER_SLUG} AS upper, left(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), 40) AS lower, {ID_SLUG} AS id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS snake,
-      'scheme.v1.0.' || {ID_SLUG} AS chunk_id, CASE WHEN starts_with(name, 'BIHAR-') THEN substr(name, 7) ELSE name END AS local FROM (SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT name FROM ({NAMES}))""",
+      'scheme.v1.0.' || {ID_SLUG} AS chunk_id, CASE WHEN starts_with(name, 'SCHEME-') THEN substr(name, 8) ELSE name END AS local FROM (SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT name FROM ({NAMES}))""",
     "trust_tier": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'human-reviewed' WHEN quality = 1 THEN 'machine-confirmed' ELSE 'unverified' END AS trust, CASE WHEN quality = 1 THEN 'stable' WHEN toxic = 1 THEN 'draft' ELSE 'deprecated' END AS status FROM labels",
     "verifier_actors": f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN trim(coalesce(by_text, '')) = '' THEN '' WHEN regexp_matches(by_text, '(?i)verify_policy_data|verify_chunks') THEN array_to_string(list_filter([CASE WHEN regexp_matches(by_text, '(?i)verify_policy_data') THEN 'process:verify_policy_data' END, CASE WHEN regexp_matches(by_text, '(?i)verify_chunks') THEN 'process:verify_chunks' END], lambda x: x IS NOT NULL), '|')
       ELSE 'process:' || coalesce(nullif(left(trim(regexp_replace(lower(by_text), '[^a-z0-9]+', '-', 'g'), '-'), 40), ''), 'unknown') END AS actors FROM ({VERIFIERS})""",
@@ -428,10 +428,10 @@ SQL = {
     "graph_source_append": f"""WITH {DENSE.format(where='')}, {sparse_sql()}, {FUSED}, b AS (SELECT query_id, doc_id, rank AS pos, 'vector' AS origin, 0 AS late FROM fused WHERE rank <= 6 UNION ALL SELECT d.query_id, d.doc_id, d.rank, 'graph', 1 FROM dense d WHERE d.rank <= 10 AND NOT EXISTS (SELECT 1 FROM fused f WHERE f.rank <= 6 AND f.query_id = d.query_id AND f.doc_id = d.doc_id))
       SELECT query_id, doc_id, origin, position, 'S' || position AS tag FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, pos, doc_id) AS position FROM b)""",
     "ladder_tiers": f"""WITH {LOOKED}, r AS (SELECT r.query_id, m.mode, CASE WHEN m.mode = 'rag' THEN 'rag_narrative' ELSE r.retrieval_mode END AS retrieval_mode, r.intent, r.n_matches, r.category, l.query_id IS NOT NULL AS has_rate, e.*, regexp_matches(r.text, {q(T.LOOKUP)}) AS lookup,
-        CASE WHEN m.mode <> 'okf' THEN e.gate WHEN e.graph_nodes = 0 THEN 'abstain' WHEN e.graph_trusted = 0 THEN 'answer_low_confidence' ELSE 'answer' END AS final_gate
-        FROM routed r JOIN ({EVIDENCE}) e ON e.query_id = r.query_id LEFT JOIN looked l ON l.query_id = r.query_id CROSS JOIN (VALUES ('rag'), ('okf'), ('okf_rag')) AS m(mode)),
-      t AS (SELECT *, CASE WHEN intent IN ('greeting', 'grievance') THEN intent WHEN mode <> 'rag' AND retrieval_mode = 'okf_lookup' AND n_matches = 1 AND category IS NOT NULL AND has_rate THEN 'okf_lookup'
+        CASE WHEN m.mode <> 'records' THEN e.gate WHEN e.graph_nodes = 0 THEN 'abstain' WHEN e.graph_trusted = 0 THEN 'answer_low_confidence' ELSE 'answer' END AS final_gate
+        FROM routed r JOIN ({EVIDENCE}) e ON e.query_id = r.query_id LEFT JOIN looked l ON l.query_id = r.query_id CROSS JOIN (VALUES ('rag'), ('records'), ('records_rag')) AS m(mode)),
+      t AS (SELECT *, CASE WHEN intent IN ('greeting', 'grievance') THEN intent WHEN mode <> 'rag' AND retrieval_mode = 'record_lookup' AND n_matches = 1 AND category IS NOT NULL AND has_rate THEN 'record_lookup'
         WHEN final_gate = 'abstain' AND mode <> 'rag' AND graph_trusted >= 2 AND graph_chunks > 0 THEN 'graph' WHEN final_gate = 'abstain' THEN 'abstain'
-        WHEN mode <> 'okf' AND lookup AND dominant AND intent = 'policy_qa' THEN 'extractive' ELSE 'synthesis' END AS tier FROM r)
-      SELECT query_id, mode, retrieval_mode, final_gate, tier, final_gate = 'answer_low_confidence' AND tier NOT IN ('okf_lookup', 'graph', 'abstain', 'greeting', 'grievance') AS low_confidence, tier NOT IN ('abstain', 'greeting', 'grievance') AS cached FROM t""",
+        WHEN mode <> 'records' AND lookup AND dominant AND intent = 'policy_qa' THEN 'extractive' ELSE 'synthesis' END AS tier FROM r)
+      SELECT query_id, mode, retrieval_mode, final_gate, tier, final_gate = 'answer_low_confidence' AND tier NOT IN ('record_lookup', 'graph', 'abstain', 'greeting', 'grievance') AS low_confidence, tier NOT IN ('abstain', 'greeting', 'grievance') AS cached FROM t""",
 }

@@ -46,7 +46,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    schema = "chunks array<struct<chunk_id:string,chunk_type:string,text:string,parent_text:string,clause_path:string,page_start:int,page_end:int,scheme_id:string,source_type:string,okf_entity_id:string,ambiguity_flags:array<string>>>"
+    schema = "chunks array<struct<chunk_id:string,chunk_type:string,text:string,parent_text:string,clause_path:string,page_start:int,page_end:int,scheme_id:string,source_type:string,entity_id:string,ambiguity_flags:array<string>>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("chunks").alias("c")).select("c.*")
 
 
