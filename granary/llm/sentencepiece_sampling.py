@@ -38,7 +38,7 @@ from .wordhash import GOLD, Hasher, U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, ALPHA, SAMPLES, SEED = 2.7, 1.0, 2, 17
 #: Bytes of text that share lattices; a worker holds about 50 times as much.
-BATCH = 9 << 19
+BATCH = 5 << 19
 #: Characters of distinct words whose lattices are built at a time.
 PART = 1 << 16
 #: Rank given to pieces without one (runs of blanks).
@@ -165,11 +165,13 @@ class Lattice:
         self.first, self.cp = stop - size, cp
         cuts = np.unique(np.r_[0, np.searchsorted(stop, np.arange(PART, len(cp), PART)), len(size)])
         parts = [Part(codec, cp[self.first[a] : stop[b - 1]], size[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        nodes = np.cumsum([0] + [len(p.cp) for p in parts]).tolist()
-        join = lambda name: np.concatenate([getattr(p, name) for p in parts])
-        self.piece, self.is_last, self.logp, self.upto, self.count = map(join, ("piece", "is_last", "logp", "upto", "count"))
-        self.node = np.concatenate([p.node + np.int32(n) for p, n in zip(parts, nodes, strict=False)])
-        self.after = np.concatenate([p.after + np.int32(n) for p, n in zip(parts, nodes, strict=False)])
+        nodes = np.cumsum([0] + [len(p.cp) for p in parts])[:-1].astype(np.int32)
+
+        def take(name: str, shift: bool = False) -> np.ndarray:  # each array leaves the parts as it is joined
+            return np.concatenate([p.__dict__.pop(name) + n if shift else p.__dict__.pop(name) for p, n in zip(parts, nodes, strict=True)])
+
+        self.piece, self.is_last, self.logp, self.upto, self.count = map(take, ("piece", "is_last", "logp", "upto", "count"))
+        self.node, self.after = take("node", True), take("after", True)
         self.begin = np.r_[0, np.cumsum(self.count)].astype(np.int32)
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -226,7 +228,7 @@ class Part:
         # backward log masses, all words at once by distance from the end; a word's end has mass one
         self.is_last = self.after == np.repeat(stop, size).astype(np.int32)[self.node]
         self.after[self.is_last] = len(cp)
-        self.mass = np.zeros(len(cp) + 1)
+        mass = np.zeros(len(cp) + 1)
         by_size = np.argsort(-size, kind="stable")
         ends, sizes = stop[by_size], size[by_size]
         for d in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
@@ -234,10 +236,10 @@ class Part:
             c = count[nodes]
             start = np.cumsum(c) - c
             cells = np.repeat(self.begin[nodes] - start, c) + np.arange(c.sum())
-            v = weight[cells] + self.mass[self.after[cells]]
+            v = weight[cells] + mass[self.after[cells]]
             top = np.maximum.reduceat(v, start)
-            self.mass[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), start))
-        self.logp = weight + self.mass[self.after] - self.mass[self.node]
+            mass[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), start))
+        self.logp = weight + mass[self.after] - mass[self.node]
         sums = np.r_[0.0, np.cumsum(np.exp(self.logp))]
         self.upto = sums[1:] - np.repeat(sums[self.begin[:-1]], count)  # probability of the cells of a node up to this one
 
