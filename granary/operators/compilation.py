@@ -106,3 +106,15 @@ def write_if_clean(frames: dict[str, DataFrame], errors: list[DataFrame], folder
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def compliance_gaps(sources: DataFrame) -> DataFrame:
+    """Sources that may not be fetched: an automated strategy needs a finished check and an allowing robots file; manual ones are exempt."""
+    ok = F.coalesce(F.col("compliance_checked"), F.lit(False)) & (F.coalesce(F.col("robots"), F.lit("")) == "allowed")
+    reason = F.when(~F.coalesce(F.col("compliance_checked"), F.lit(False)), "not checked").otherwise("robots")
+    return sources.filter((F.col("fetch_strategy") != "manual") & ~ok).select("source_id", reason.alias("reason"))
+
+
+def ratchet(found: int, baseline: int) -> tuple[bool, int]:
+    """Whether a count of known defects has not grown, and the baseline from now on."""
+    return found <= baseline, min(found, baseline)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import compilation as C
 from ..operators import notes as N
 from .graph_queries import nodes, walk_sql, walked
 from .inline import frame, values
@@ -28,6 +29,9 @@ NEEDED = values("needed", "query_id, flag, language, pos", [(0, "AMB-1", "en", 1
 PAGE_TEXTS = values("texts", "page, text", [(1, "Intro ANNEX A  12 "), (2, "ANNEX A body"), (3, "none"), (4, "ANNEX A")])
 
 
+FETCHED = values("fetched", "source_id, fetch_strategy, compliance_checked, robots", [("a", "manual", None, None), ("b", "scrape", True, "allowed"), ("c", "scrape", True, "denied"), ("d", "api", False, "allowed"), ("e", "api", None, None)])
+
+
 def resolve(s, d):
     index = N.concept_index(frame(s, CONCEPTS, CONCEPT_TYPES))
     return N.resolve(frame(s, REFERENCES, "ref_id bigint, reference string, base string"), index).select("ref_id", "token", "concept_id")
@@ -76,6 +80,7 @@ QUERIES = {
     "graph_tier_answer": graph_answers,
     "node_summaries": summaries,
     "distinct_sources": sources,
+    "compliance_gate": lambda s, d: C.compliance_gaps(frame(s, FETCHED, "source_id string, fetch_strategy string, compliance_checked boolean, robots string")),
     "empty_after_heading": lambda s, d: frame(s, PAGE_TEXTS, "page int, text string").select("page", N.empty_after_heading(F.col("text"), "ANNEX A").alias("empty")),
 }
 SQL = {
@@ -91,5 +96,6 @@ SQL = {
       SELECT query_id, string_agg('- ' || title || ': about ' || concept_id, chr(10) ORDER BY r) AS answer, count(*) AS n FROM r WHERE r <= CASE WHEN found THEN 5 ELSE 4 END GROUP BY query_id""",
     "node_summaries": f"""WITH {NAMED} SELECT n.name_id, (SELECT left(string_agg(category || ': ' || rate_text, '; ' ORDER BY category), 400) FROM rated r WHERE r.p_name = n.name) AS summary, n.name || '|' || string_split(n.name, ' ')[-1] AS aliases FROM named n""",
     "distinct_sources": "SELECT l_orderkey, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT DISTINCT l_orderkey, l_returnflag || l_linestatus AS s FROM lineitem) GROUP BY l_orderkey",
+    "compliance_gate": f"SELECT source_id, CASE WHEN coalesce(compliance_checked, FALSE) THEN 'robots' ELSE 'not checked' END AS reason FROM ({FETCHED}) WHERE fetch_strategy <> 'manual' AND NOT (coalesce(compliance_checked, FALSE) AND coalesce(robots, '') = 'allowed')",
     "empty_after_heading": f"SELECT CAST(page AS BIGINT) AS page, contains(text, 'ANNEX A') AND regexp_replace(list_extract(string_split(text, 'ANNEX A'), -1), '[\\s\\d]+', '', 'g') = '' AS empty FROM ({PAGE_TEXTS})",
 }

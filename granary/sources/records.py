@@ -87,3 +87,18 @@ def extract_pages(spark: SparkSession, folder: str, extractor, pattern: str = "*
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "content").mapInPandas(run, "path string, page long, text string")
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Vector index: chunks with dense (array<float>) and sparse (map<int,float>) columns, replaced as a whole.
+
+    Search is exact, so the index is the table itself; postings are exploded beside it for the sparse side.
+    """
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks.select("chunk_id", F.explode("sparse").alias("token", "weight")).write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def source_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, name, tier, url, fetch_strategy, compliance_checked, robots) from a JSON registry; entries without an id are left out."""
+    schema = "sources array<struct<source_id:string,name:string,tier:string,url:string,fetch_strategy:string,compliance_checked:boolean,robots:string>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("sources")).filter("source_id is not null")
