@@ -9,7 +9,7 @@ from ..operators import notes as N
 from .graph_queries import nodes, walk_sql, walked
 from .inline import frame, values
 from .record_queries import NAMED, named
-from .retrieval_queries import rerank_sql, reranked, table
+from .retrieval_queries import rerank_sql, reranked, stated, table
 
 CONCEPTS = values(
     "concepts",
@@ -50,10 +50,10 @@ def disclosures(s, d):
     return N.disclosures(frame(s, NEEDED, "query_id bigint, flag string, language string, pos int"), frame(s, REGISTER, "id string, local_id string, en string, hi string, severity string"))
 
 
-def abstain(s, d):
+def abstain(s, d, n: int | None = 5):
     from ..operators.retrieval import suggestions
 
-    top = suggestions(reranked(s, d), "source").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "source"))), lambda x: x.source), ", ").alias("said"))
+    top = suggestions(reranked(s, d, n), "source").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "source"))), lambda x: x.source), ", ").alias("said"))
     return top.select("query_id", N.abstain_message(F.when(F.col("query_id") % 2 == 1, "hi").otherwise("en"), F.col("said"), "the handbook").alias("message"))
 
 
@@ -99,3 +99,5 @@ SQL = {
     "compliance_gate": f"SELECT source_id, CASE WHEN coalesce(compliance_checked, FALSE) THEN 'robots' ELSE 'not checked' END AS reason FROM ({FETCHED}) WHERE fetch_strategy <> 'manual' AND NOT (coalesce(compliance_checked, FALSE) AND coalesce(robots, '') = 'allowed')",
     "empty_after_heading": f"SELECT CAST(page AS BIGINT) AS page, contains(text, 'ANNEX A') AND regexp_replace(list_extract(string_split(text, 'ANNEX A'), -1), '[\\s\\d]+', '', 'g') = '' AS empty FROM ({PAGE_TEXTS})",
 }
+QUERIES["abstain_message_every50"] = lambda s, d: abstain(s, d, None)
+SQL["abstain_message_every50"] = stated(SQL["abstain_message"])

@@ -13,7 +13,7 @@ from ..operators import guards as U
 from ..operators import ladder as L
 from ..sources.records import join_spans
 from .inline import ANSWER_TYPES, ANSWERS, FACTS, LINKS, NAMES, PAGES, QUESTION_TYPES, QUESTIONS, REQUIRED, frame, values
-from .retrieval_queries import DENSE, FUSED, dense, hybrid, sparse_sql, table
+from .retrieval_queries import DENSE, FUSED, dense, hybrid, sparse_sql, stated, table
 
 
 def joined(c, sep: str = "|"):
@@ -253,9 +253,9 @@ def cache_dedup(s, d):
     return L.first_of_equal(docs, "key", "doc_id").select("doc_id", "answered_by", "n_requests", "cached")
 
 
-def source_append(s, d):
-    primary = hybrid(s, d).filter("rank <= 6").select("query_id", "doc_id", F.col("rank").alias("pos"))
-    extra = dense(s, d).filter("rank <= 10").select("query_id", "doc_id", F.col("rank").alias("pos"))
+def source_append(s, d, n: int | None = 5):
+    primary = hybrid(s, d, n).filter("rank <= 6").select("query_id", "doc_id", F.col("rank").alias("pos"))
+    extra = dense(s, d, n).filter("rank <= 10").select("query_id", "doc_id", F.col("rank").alias("pos"))
     return L.append_sources(primary, extra)
 
 
@@ -435,3 +435,5 @@ SQL = {
         WHEN mode <> 'records' AND lookup AND dominant AND intent = 'policy_qa' THEN 'extractive' ELSE 'synthesis' END AS tier FROM r)
       SELECT query_id, mode, retrieval_mode, final_gate, tier, final_gate = 'answer_low_confidence' AND tier NOT IN ('record_lookup', 'graph', 'abstain', 'greeting', 'grievance') AS low_confidence, tier NOT IN ('abstain', 'greeting', 'grievance') AS cached FROM t""",
 }
+QUERIES["graph_source_append_every50"] = lambda s, d: source_append(s, d, None)
+SQL["graph_source_append_every50"] = stated(SQL["graph_source_append"])

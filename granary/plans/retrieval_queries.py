@@ -18,24 +18,34 @@ def vectors(s, d) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
-def dense(s, d, n: int = 5, keep=None) -> DataFrame:
+def asked(key: str, n: int | None, shift: int = 0):
+    """The query set: ids below n, or (None) the stated one, every id divisible by 50; ids are moved by ``shift``."""
+    at = F.col(key) - shift
+    return at % 50 == 0 if n is None else at < n
+
+
+def dense(s, d, n: int | None = 5, keep=None, among=None) -> DataFrame:
     v = vectors(s, d)
-    return R.dense_topk(v, v.filter(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), "embedding"), keep=keep)
+    return R.dense_topk(v if among is None else v.join(among, "doc_id", "left_semi"), v.filter(asked("doc_id", n)).select(F.col("doc_id").alias("query_id"), "embedding"), keep=keep)
+
 
+def in_english(s, d) -> DataFrame:
+    return table(s, d, "documents").filter("lang = 'en'").select("doc_id")
 
-def sparse(s, d, items=None, n: int = 5) -> DataFrame:
+
+def sparse(s, d, items=None, n: int | None = 5) -> DataFrame:
     docs = R.postings(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    q = items if items is not None else table(s, d, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+    q = items if items is not None else table(s, d, "benchmark").filter(asked("item_id", n)).select(F.col("item_id").alias("query_id"), "text")
     return R.sparse_topk(docs, R.postings(q, "query_id"))
 
 
-def hybrid(s, d) -> DataFrame:
-    return R.rrf_fuse(dense(s, d), sparse(s, d))
+def hybrid(s, d, n: int | None = 5) -> DataFrame:
+    return R.rrf_fuse(dense(s, d, n), sparse(s, d, n=n))
 
 
-def reranked(s, d, n: int = 5) -> DataFrame:
+def reranked(s, d, n: int | None = 5) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    q = table(s, d, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    q = table(s, d, "benchmark").filter(asked("item_id", n)).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     c = sparse(s, d, n=n).filter(F.col("rank") <= R.SHORTLIST).select("query_id", "doc_id")
     return R.rerank(c.join(docs, "doc_id").join(F.broadcast(q), "query_id")).drop("query_text", "text")
 
@@ -47,17 +57,17 @@ def thresholds(s) -> DataFrame:
     return s.createDataFrame(THRESHOLDS, "source_type string, tau_hard double, tau_soft double")
 
 
-def gate(s, d) -> DataFrame:
+def gate(s, d, n: int | None = 5) -> DataFrame:
     # a query without candidates (item -1) must abstain
-    qs = table(s, d, "benchmark").filter(F.col("item_id") < 5).select(F.col("item_id").alias("query_id")).union(s.range(1).select(F.lit(-1).cast("long")))
-    return R.coverage_gate(qs, reranked(s, d), thresholds(s), "lang")
+    qs = table(s, d, "benchmark").filter(asked("item_id", n)).select(F.col("item_id").alias("query_id")).union(s.range(1).select(F.lit(-1).cast("long")))
+    return R.coverage_gate(qs, reranked(s, d, n), thresholds(s), "lang")
 
 
-def variants(s, d) -> DataFrame:
+def variants(s, d, n: int | None = 5) -> DataFrame:
     b = table(s, d, "benchmark")
     lists = []
     for v in (0, 1):
-        q = b.filter((F.col("item_id") >= v) & (F.col("item_id") < 5 + v)).select((F.col("item_id") - v).alias("query_id"), "text")
+        q = b.filter((F.col("item_id") >= v) & asked("item_id", n, v)).select((F.col("item_id") - v).alias("query_id"), "text")
         lists.append(sparse(s, d, q).withColumn("variant", F.lit(v)))
     return R.merge_variants(lists[0].unionByName(lists[1]))
 
@@ -107,9 +117,9 @@ def point_lookup(s, d) -> DataFrame:
     return table(s, d, "documents").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "source", "n_chars")
 
 
-def seeds(s, d) -> DataFrame:
+def seeds(s, d, n: int | None = 5) -> DataFrame:
     lab = vectors(s, d).select("doc_id", "label")
-    rows = hybrid(s, d).filter("rank <= 6").join(lab, "doc_id")
+    rows = hybrid(s, d, n).filter("rank <= 6").join(lab, "doc_id")
     return R.ordered_distinct(rows, ["query_id"], "label", "rank", 6, "seeds")
 
 
@@ -148,3 +158,40 @@ SQL = {
     "seed_entities_top6": f"""WITH {DENSE.format(where='')}, {sparse_sql()}, {FUSED}, f AS (SELECT query_id, label, min(rank) AS o FROM fused JOIN embeddings ON vec_id = doc_id WHERE rank <= 6 GROUP BY ALL)
       SELECT query_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY o, CAST(label AS VARCHAR)) AS seeds FROM f GROUP BY query_id""",
 }
+
+# --- the same over the stated query set: every id divisible by 50, against all rows
+
+
+def stated(sql: str) -> str:
+    """SQL of a query over five ids -> that over every id divisible by 50."""
+    for five, every in (
+        ("q.vec_id < 5", "q.vec_id % 50 = 0"),
+        ("item_id >= 0 AND item_id < 5", "item_id >= 0 AND item_id % 50 = 0"),
+        ("item_id >= 1 AND item_id < 6", "item_id >= 1 AND (item_id - 1) % 50 = 0"),
+        ("item_id < 5 UNION", "item_id % 50 = 0 UNION"),
+    ):
+        sql = sql.replace(five, every)
+    return sql
+
+
+def ordered(s, d, n: int | None) -> DataFrame:
+    return R.document_order(reranked(s, d, n), "n_chars", "source").select("query_id", "doc_id", "score", "rank", "position", "tag")
+
+
+EVERY = {
+    "dense_knn_top30": lambda s, d: dense(s, d, None),
+    "filtered_knn": lambda s, d: dense(s, d, None, among=in_english(s, d)),
+    "sparse_dot_top30": lambda s, d: sparse(s, d, n=None),
+    "hybrid_rrf_top12": lambda s, d: hybrid(s, d, None),
+    "variant_merge_rrf": lambda s, d: variants(s, d, None),
+    "rerank_sigmoid": lambda s, d: reranked(s, d, None),
+    "coverage_gate": lambda s, d: gate(s, d, None),
+    "dominant_lookup": lambda s, d: R.dominant(reranked(s, d, None), gate(s, d, None)),
+    "doc_order_context": lambda s, d: ordered(s, d, None),
+    "section_suggestions": lambda s, d: R.suggestions(reranked(s, d, None), "source"),
+    "seed_entities_top6": lambda s, d: seeds(s, d, None),
+}
+QUERIES |= {f"{k}_every50": f for k, f in EVERY.items()}
+SQL |= {f"{k}_every50": stated(SQL[k]) for k in EVERY}
+IN_ENGLISH = " AND v.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+SQL["filtered_knn_every50"] = stated(f"WITH {DENSE.format(where=IN_ENGLISH)} SELECT * FROM dense")
