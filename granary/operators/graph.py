@@ -87,11 +87,16 @@ def alias_table(nodes: DataFrame, min_length: int = 4, stopwords=STOPWORDS) -> D
     return a.filter((F.length("alias") >= min_length) & F.exists(F.split("alias", " "), lambda w: ~w.isin(*stopwords)))
 
 
-def alias_matches(questions: DataFrame, aliases: DataFrame, most_words: int = 8) -> DataFrame:
-    """Aliases contained in a question as whole words: its word n-grams are exploded and joined on equality."""
+def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Aliases of any length contained in a question as whole words.
+
+    A question's word n-grams are exploded and joined on equality, for the numbers n of words that aliases have (one small aggregate).
+    """
     words = F.split(alnum(F.col("text")), " ")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    return questions.select("query_id", F.explode(F.array_distinct(grams)).alias("alias")).join(aliases, "alias")
+    lengths = aliases.agg(F.array_sort(F.collect_set(F.size(F.split("alias", " ")))).alias("__lengths"))
+    grams = F.flatten(F.transform(F.col("__lengths"), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    asked = questions.select("query_id", "text").join(F.broadcast(lengths), F.lit(True))
+    return asked.select("query_id", F.explode(F.array_distinct(grams)).alias("alias")).join(aliases, "alias")
 
 
 def entry_points(questions: DataFrame, aliases: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

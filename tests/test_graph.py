@@ -72,3 +72,13 @@ def test_seeds_come_first(spark):
 def test_config_takes_known_keys_only():
     assert G.WalkConfig.of({"fan_out": 3, "nonsense": 1}).fan_out == 3
     assert G.WalkConfig.of(None) == G.WalkConfig()
+
+
+def test_aliases_of_any_length_are_found(spark):
+    long = "Special Package for Women Led Units in Flood Prone Blocks of Koshi"
+    nodes = spark.createDataFrame([("a", [long]), ("b", ["Flood Prone Blocks"])], "concept_id string, aliases array<string>")
+    q = spark.createDataFrame([(0, f"who gets the {long.upper()}, and when?"), (1, "flood prone blocks"), (2, "")], "query_id long, text string")
+    assert len(long.split()) == 12
+    got = G.entry_points(q, G.alias_table(nodes)).orderBy("query_id", "pos").collect()
+    assert [(x.query_id, x.concept_id) for x in got] == [(0, "a"), (0, "b"), (1, "b")]
+    assert G.entry_points(q, G.alias_table(nodes.limit(0))).count() == 0
