@@ -174,14 +174,54 @@ def split_parts(messages: DataFrame, schemas: dict, exchange: bool) -> DataFrame
 KEY = ["conv_id", "call_id"]
 
 
-def levels(calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(conv_id, call_id, level, order_turn) of first calls that have no cycle behind them; references to unknown ids do not count."""
+def follow(rows: list[dict]) -> list[dict]:
+    """Calls of one conversation that become free in turn; rows are references (of, call_id) with what is known of both."""
+    state, turns, left, users = {}, {}, {}, {}
+    for r in rows:
+        turns[r["of"]] = r["turn"], r["own_answer"]
+        left.setdefault(r["of"], []).append(r["call_id"])
+        users.setdefault(r["call_id"], []).append(r["of"])
+        if r["level"] is not None:
+            state[r["call_id"]] = r["level"], r["order_turn"], r["answered_turn"]
+    waits = {of: sum(c not in state for c in ids) for of, ids in left.items()}
+    free, out = [of for of, n in waits.items() if not n], []
+    at = lambda v: -1 if v is None else v
+    while free:
+        of = free.pop()
+        turn, answer = turns[of]
+        behind = [state[c] for c in left[of]]
+        state[of] = max(x[0] for x in behind) + 2, max(at(turn), *(max(x[1], at(x[2])) for x in behind)), answer
+        out.append({"conv_id": rows[0]["conv_id"], "call_id": of, "level": state[of][0], "order_turn": state[of][1], "answered_turn": answer})
+        for u in users.get(of, []):
+            waits[u] -= 1
+            if not waits[u]:
+                free.append(u)
+    return out
+
+
+def follow_chains(wait: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows like those of ``done`` for all calls that still wait and have no cycle behind them; each conversation in one task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = known.select("conv_id", F.col("call_id").alias("of"), "turn", F.col("answered_turn").alias("own_answer"))
+    schema = to_arrow_schema(done.schema)
+    run = lambda t: pa.Table.from_pylist(follow(t.to_pylist()), schema)
+    return wait.join(done, KEY, "left").join(own, ["conv_id", "of"]).groupBy("conv_id").applyInArrow(run, done.schema)
+
+
+def levels(calls: DataFrame, joined_rounds: int = 20) -> DataFrame:
+    """(conv_id, call_id, level, order_turn) of first calls that have no cycle behind them; references to unknown ids do not count.
+
+    Joins are repeated until nothing changes. Conversations with chains of over ``joined_rounds`` calls are
+    followed to their end one by one, so chains of any length get their level.
+    """
     known = materialize(calls.select(*KEY, "turn", "answered_turn", "refs"), "calls")
     wait = known.select("conv_id", F.col("call_id").alias("of"), F.explode("refs").alias("call_id")).join(known.select(*KEY), KEY, "left_semi")
     wait = materialize(wait.distinct(), "waits")
     free = known.join(wait.select("conv_id", F.col("of").alias("call_id")), KEY, "left_anti")
     done = materialize(free.select(*KEY, F.lit(0).alias("level"), F.coalesce("turn", F.lit(-1)).cast("long").alias("order_turn"), "answered_turn"), "done")
-    for _ in range(most_rounds):
+    for _ in range(joined_rounds):
         if wait.isEmpty():
             break
         # a call is next if all that it waits for is done
@@ -199,6 +239,9 @@ def levels(calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
         done, wait = materialize(done.unionByName(new), "done"), rest
         for t in (*old, new):
             release(t)
+    else:
+        if not wait.isEmpty():
+            done = done.unionByName(materialize(follow_chains(wait, known, done), "done"))
     return done.select(*KEY, "level", "order_turn")
 
 
