@@ -109,7 +109,7 @@ def one_hop(s, d) -> DataFrame:
 
 
 def build_nodes(s, d) -> DataFrame:
-    """Nodes with their neighbours as sorted chunk lists and trust."""
+    """Nodes with the number of their chunks, the first chunk id, alias and trust."""
     from ..functions.text import alnum
 
     e = edges(s, d).filter("kind = 'scoped_to_sector'").groupBy(F.col("dst").alias("concept_id")).agg(F.count("*").alias("n_chunks"), F.min("src").alias("first_chunk"))
