@@ -1,44 +1,55 @@
-"""Substring dedup by seed and extend: winnowed anchors, extension to maximal runs, exact removal.
+"""Substring dedup by seed and extend: winnowed anchors, extension on words, maximal repeats, exact removal.
 
 A window is ``WINDOW`` consecutive words of one document; a window of a document is a repeat if its
 word sequence also starts in a document with a smaller doc_id, and every word that a repeat covers
 goes. Each window has one anchor, the run of ``SEED`` words in it with the smallest hash (the first
-of equals), so equal windows have equal anchors at equal offsets. The steps:
-
-1. Extension first: consecutive windows are joined into blocks that end where an anchor's hash says
-   so (about ``PER_BLOCK`` anchors), and blocks are compared whole. A block whose words all stand in
-   a document with a smaller id is a maximal repeat as it is, and its windows need no further look;
-   they cannot be the first of their kind either, so nothing is lost by leaving them out below.
-2. Seeds: of the anchors in the remaining blocks, those that occur in two or more documents.
-3. Windows over these seeds are compared by their hashes (96 bits) with the smallest doc_id that
-   has them, and neighbouring repeats merge into maximal runs over the length threshold.
-
-Cost at scale: the texts move once, into a table bucketed by row, so the later joins of texts with
-small per-row replies (block numbers, anchor positions, window starts) move the replies alone. All
-minima are taken before the shuffle; pairs of documents are never made, so an anchor in a third of
-all documents costs one row for each of these. Joins by anchor or window are plain equi-joins that
-adaptive execution splits where skewed.
-
-A null text has no words. A null doc_id counts as larger than any other, and rows that share a
-doc_id are one document for the comparison but get a row each (rows equal in doc_id and text alike
-get the same result). An empty table gives an empty result. Only doc_id and text are read.
+of equals), so equal windows have equal anchors at equal offsets. An anchor's context is all the words
+of the windows that have it; the windows of an anchor are consecutive. The steps:
+
+1. Seeds: anchors with their contexts' hashes are written once. Occurrences with an equal anchor and
+   an equal context (64 bits of the anchor's words, 64 bits by an unrelated function of the bytes of
+   the context) are one class; those outside the class's document with the smallest id are repeats as
+   a whole.
+2. Extension: an anchor that several classes of several documents share is open. Each class joins
+   the first class of its anchor, and the match is extended word by word from the anchor to the left
+   and to the right. Windows inside the match repeat the first class's document.
+3. Windows of open anchors outside that match are compared by their words with the document of the
+   smallest id that has them.
+4. Neighbouring repeats with the same source merge into maximal repeats (start, length, source).
+
+Cost at scale: the texts move once, into a table bucketed by row in the shared scratch folder, so the
+later joins of texts with small per-row replies move the replies alone. Minima are taken before the
+shuffle. A class or anchor joins one row, so pairs of documents are never made and an anchor in a
+third of all documents costs one row for each; keys with more than 1/``HOT_KEYS`` of all rows, of which
+there can be ``HOT_KEYS`` at most, are broadcast instead of shuffled (a row has at most about 1.3 kB,
+as longer words count by their SHA-256).
+
+A null text has no words. doc_id may have any type that has an order; a null one counts as larger
+than any other, and rows that share a doc_id are one document for the comparison but get a row each
+(rows equal in doc_id and text alike get the same result). An empty table gives an empty result. Only
+doc_id and text are read, so extra columns, whatever their names, are not part of the result.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, release, text_bytes
+from .common import drop_path, materialize, read_table, release, scratch_dir, text_bytes
 from .wordhash import Hasher, U, groups
 
-WINDOW, SEED, PER_BLOCK = 13, 4, 8
-KEYS = ["k1", "k2"]
+WINDOW, SEED = 13, 7
+#: Words of more bytes count by their SHA-256 in extensions, which bounds a context.
+LONG_WORD = 64
+#: Keys with more rows than this and than 1 / HOT_KEYS of all rows are broadcast.
+HOT_ROWS, HOT_KEYS = 10_000, 2_000
 
 
 def first_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,42 +63,33 @@ def first_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Seeds:
-    """Windows, anchors and blocks of a group of texts (all numbers are word numbers in the group)."""
+    """Anchors of a group of texts: (first window, number of windows, anchor's first word) as word numbers in the group."""
 
     def __init__(self, hasher: Hasher, texts: list[bytes], window: int = WINDOW, seed: int = SEED):
-        self.hasher, self.window = hasher, window
+        self.window = window
         self.h, self.doc, self.start, self.end, self.buf = hasher.words(texts)
         self.n = np.bincount(self.doc, minlength=len(texts))
         self.base = np.r_[0, np.cumsum(self.n)][:-1]  # first word of each text
         size = len(self.h)
-        if size < window:
-            self.windows = self.anchor = np.zeros(0, np.int64)
-            self.grams = np.zeros(0, np.uint64)
-        else:
+        self.lead = self.count = self.anchor = np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.uint64)
+        if size >= window:
             at = np.arange(size - seed + 1)
             self.grams = hasher.spans(self.h, at, at + seed)
-            low = first_least(self.grams, window - seed + 1)
             inside = np.flatnonzero(self.doc[: size - window + 1] == self.doc[window - 1 :])
-            self.windows, self.anchor = inside, inside + low[inside]
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, last window, number within its text) of each block, and per window its block in ``self.block_of``."""
-        if not len(self.windows):
-            self.block_of = np.zeros(0, np.int64)
-            return self.windows, self.windows, self.windows
-        new_doc = np.r_[True, self.doc[self.windows[1:]] != self.doc[self.windows[:-1]]]
-        cut = np.r_[True, self.anchor[1:] != self.anchor[:-1]] & (self.grams[self.anchor] % U(PER_BLOCK) == 0)
-        new = new_doc | cut
-        self.block_of = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        lead = self.windows[first]
-        doc = self.doc[lead]
-        number = np.arange(len(first)) - np.searchsorted(doc, doc)
-        return lead, self.windows[np.r_[first[1:], len(self.windows)] - 1], number
+            anchor = inside + first_least(self.grams, window - seed + 1)[inside]
+            if len(anchor):
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (self.doc[inside[1:]] != self.doc[inside[:-1]])])
+                self.lead, self.anchor = inside[new], anchor[new]
+                self.count = np.diff(np.r_[new, len(inside)])
+
+    def words(self, a: int, e: int) -> list[bytes]:
+        """Words [a, e), long ones by their digest (no word holds a line break)."""
+        return [w if len(w) <= LONG_WORD else b"\n" + hashlib.sha256(w).hexdigest().encode() for w in (self.buf[x:y] for x, y in zip(self.start[a:e].tolist(), self.end[a:e].tolist(), strict=True))]
 
 
 def over_texts(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """Run ``emit(seeds, batch, a)`` over groups of rows a, a + 1, ... of each batch; it returns arrays by the names of the schema."""
+    """Run ``emit(seeds, batch)`` over groups of rows of each batch; it returns arrays by the names of the schema."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -98,73 +100,115 @@ def over_texts(rows: DataFrame, emit, schema: str) -> DataFrame:
             texts = b.column("text").to_pylist()
             for a, e in groups(texts):
                 out = emit(Seeds(hasher, texts[a:e]), b.slice(a, e - a))
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def column(b, name: str, at: np.ndarray) -> np.ndarray:
-    return b.column(name).to_numpy(zero_copy_only=False)[at]
-
-
-def i64(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
+def taken(b, name: str, at: np.ndarray):
+    import pyarrow as pa
 
-def emit_blocks(s: Seeds, b):
-    lead, last, number = s.blocks()
-    doc = s.doc[lead]
-    return {"h1": i64(s.hasher.spans(s.h, lead, last + s.window)), "h2": i64(s.hasher.spans(s.h, lead, last + s.window, 1)), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "block": number.astype(np.int32)}
+    return b.column(name).take(pa.array(at, pa.int64()))
 
 
-def flat(b, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of a list column, null counting as empty."""
-    lists = b.column(name)
+def flat(lists) -> tuple[np.ndarray, object]:
+    """(row, values) of a list column, null counting as empty."""
     sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def resolved_blocks(s: Seeds, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, whether resolved) of the blocks."""
-    lead, last, number = s.blocks()
-    row, value = flat(b, "blocks")
-    known = np.isin(s.doc[lead].astype(np.int64) << 32 | number, row << 32 | value)
-    return lead, last, known
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
 
-def open_windows(s: Seeds, b) -> np.ndarray:
-    """Windows (as indexes) outside resolved blocks."""
-    _, _, known = resolved_blocks(s, b)
-    return np.flatnonzero(~known[s.block_of]) if len(s.windows) else s.windows
+def numbers(x) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def emit_anchors(s: Seeds, b):
-    a = s.anchor[open_windows(s, b)]  # rises along the text
-    at = a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
-    doc = s.doc[at] if len(at) else at
-    return {"anchor": i64(s.grams[at]), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "pos": (at - s.base[doc]).astype(np.int32)}
+    doc = s.doc[s.lead]
+    last = s.lead + s.count + s.window - 2
+    buf, digest = s.buf, xxhash.xxh64_intdigest
+    context = [digest(buf[x:y], 7) for x, y in zip(s.start[s.lead].tolist(), s.end[last].tolist(), strict=True)]
+    return {
+        "anchor": s.grams[s.anchor].view(np.int64),
+        "context": np.array(context, np.uint64).view(np.int64),
+        "id": taken(b, "doc_id", doc),
+        "row": taken(b, "row", doc),
+        "start": (s.lead - s.base[doc]).astype(np.int32),
+        "n": s.count.astype(np.int8),
+        "lo": (s.anchor - s.lead).astype(np.int8),
+    }
+
+
+def emit_contexts(s: Seeds, b):
+    """The words of the contexts whose first windows are asked for."""
+    import pyarrow as pa
+
+    row, asked = flat(b.column("asked"))
+    at = np.searchsorted(s.lead, s.base[row] + numbers(asked))
+    doc, a, e = s.doc[s.lead[at]], s.lead[at], s.lead[at] + s.count[at] + s.window - 1
+    words = [b" ".join(s.words(x, y)) for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+    return {
+        "anchor": s.grams[s.anchor[at]].view(np.int64),
+        "id": taken(b, "doc_id", doc),
+        "row": taken(b, "row", doc),
+        "start": (a - s.base[doc]).astype(np.int32),
+        "lo": (s.anchor[at] - a).astype(np.int8),
+        "words": pa.array(words, pa.binary()),
+    }
+
+
+def extend(own: list[bytes], at: int, other: list[bytes], other_at: int, seed: int = SEED) -> tuple[int, int]:
+    """[a, e) of the words of ``own`` that go on matching ``other`` both ways from the anchor, which stands at the places given."""
+    shift = other_at - at
+    if own[at : at + seed] != other[other_at : other_at + seed]:
+        return at, at
+    a, e = at, at + seed
+    low, high = max(0, -shift), min(len(own), len(other) - shift)
+    while a > low and own[a - 1] == other[a - 1 + shift]:
+        a -= 1
+    while e < high and own[e] == other[e + shift]:
+        e += 1
+    return a, e
+
+
+def extended(pairs: DataFrame, id_type: str, window: int = WINDOW) -> DataFrame:
+    """From rows with the words of a class and of the first class of its anchor: repeats (row, start, n, source), and windows left (words not null)."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def emit_windows(s: Seeds, b):
-    row, value = flat(b, "seeds")
-    chosen = np.unique(s.base[row] + value)
-    w = open_windows(s, b)
-    w = s.windows[w[np.isin(s.anchor[w], chosen)]]
-    doc = s.doc[w] if len(w) else w
-    return {"w1": i64(s.hasher.spans(s.h, w, w + s.window)), "w2": s.hasher.spans(s.h, w, w + s.window, 1).astype(np.int32), "ord": column(b, "ord", doc), "k1": column(b, "k1", doc), "k2": column(b, "k2", doc), "start": (w - s.base[doc]).astype(np.int32)}
+        for b in batches:
+            at, start, n, words = [], [], [], []
+            cols = [b.column(c).to_pylist() for c in ("words", "lo", "first_words", "first_lo", "start", "smaller")]
+            for k, (w, lo, v, first_lo, s, smaller) in enumerate(zip(*cols, strict=True)):
+                w = w.split(b" ")
+                a, e = extend(w, lo, v.split(b" "), first_lo)
+                inside = max(0, e - a - window + 1)  # windows within the match
+                if inside and smaller:
+                    at.append(k)
+                    start.append(s + a)
+                    n.append(inside)
+                    words.append(None)
+                for t in range(len(w) - window + 1):
+                    if not (inside and a <= t <= e - window):
+                        at.append(k)
+                        start.append(s + t)
+                        n.append(1)
+                        words.append(b" ".join(w[t : t + window]))
+            took = pa.array(at, pa.int64())
+            out = [b.column("row").take(took), b.column("id").take(took), pa.array(start, pa.int32()), pa.array(n, pa.int32()), b.column("first_id").take(took), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["row", "id", "start", "n", "source", "words"])
+
+    return pairs.mapInArrow(run, f"row long, id {id_type}, start int, n int, source {id_type}, words binary")
 
 
 def emit_result(s: Seeds, b):
     import pyarrow as pa
 
-    lead, last, known = resolved_blocks(s, b)
+    row, found = flat(b.column("found"))
+    start, n, source = (found.field(k) for k in range(3))
+    first, n = s.base[row] + numbers(start), numbers(n)
     delta = np.zeros(len(s.h) + 1, np.int64)
-    np.add.at(delta, lead[known], 1)
-    np.add.at(delta, last[known] + s.window, -1)
-    row, value = flat(b, "starts")
-    np.add.at(delta, s.base[row] + value, 1)
-    np.add.at(delta, s.base[row] + value + s.window, -1)
+    np.add.at(delta, first, 1)
+    np.add.at(delta, first + n + s.window - 1, -1)
     gone = np.cumsum(delta)[:-1] > 0
     removed = np.bincount(s.doc[gone], minlength=len(s.n)) if len(s.h) else np.zeros(len(s.n), np.int64)
     texts = []
@@ -172,7 +216,18 @@ def emit_result(s: Seeds, b):
     for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         keep = np.flatnonzero(~gone[a:e]) + a
         texts.append(b" ".join([s.buf[x:y] for x, y in zip(s.start[keep].tolist(), s.end[keep].tolist(), strict=True)]))
-    return {"doc_id": b.column("doc_id"), "n_words": s.n.astype(np.int64), "n_removed": removed.astype(np.int64), "kept": pa.array(texts, pa.binary())}
+    # maximal repeats: windows that follow one another and have the same source
+    order = np.lexsort((first, row))
+    first, n, row, named = first[order], n[order], row[order], source.take(pa.array(order)).to_pylist()
+    repeats: list[list[dict]] = [[] for _ in range(len(s.n))]
+    for f, k, r, d in zip((first - s.base[row]).tolist(), n.tolist(), row.tolist(), named, strict=True):
+        last = repeats[r][-1] if repeats[r] else None
+        if last and last["source"] == d and last["start"] + last["length"] - s.window + 1 == f:
+            last["length"] += k
+        else:
+            repeats[r].append({"start": f, "length": k + s.window - 1, "source": d})
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", source.type)]))
+    return {"doc_id": b.column("doc_id"), "n_words": s.n.astype(np.int64), "n_removed": removed.astype(np.int64), "kept": pa.array(texts, pa.binary()), "repeats": pa.array(repeats, kind)}
 
 
 def settle(spark: SparkSession) -> None:
@@ -181,54 +236,103 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def smaller(a: Column, b: Column) -> Column:
+    """Whether document a comes before document b; null ids come last."""
+    return a.isNotNull() & (b.isNull() | (a < b))
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with the one row that ``table`` has for each key, with the number ``rows_of`` of rows of the key.
+
+    Hot keys are broadcast: keys with over 1 / HOT_KEYS of ``total`` rows number less than HOT_KEYS.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.filter(F.col("rows_of") > bound))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("rows_of") <= bound), keys)
+    return cold.unionByName(rows.join(hot, keys))
+
+
+def first_and_last(by: str = "id") -> list[Column]:
+    """Least and greatest id of a group (nulls aside), whether it has a null id, and its number of rows."""
+    return [F.min(by).alias("least"), F.max(by).alias("most"), F.max(F.col(by).isNull()).alias("nulls"), F.count("*").alias("rows_of")]
+
+
+def several() -> Column:
+    """Whether a group of first_and_last() holds more than one document."""
+    return F.col("least").isNotNull() & (F.col("nulls") | (F.col("least") < F.col("most")))
+
+
+class Texts:
+    """The texts in a table bucketed by row, in the shared scratch folder."""
+
+    def __init__(self, rows: DataFrame):
+        spark = self.spark = rows.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"granary_texts_{uuid.uuid4().hex}", f"{scratch_dir(spark)}/texts-{uuid.uuid4().hex}"
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())
+        numbered.repartition(n, "row").write.bucketBy(n, "row").option("path", self.path).saveAsTable(self.name)
+        atexit.register(self.drop)
+        self.table = spark.table(self.name)
+
+    def with_reply(self, reply: DataFrame, how: str) -> DataFrame:
+        return self.table.join(reply.hint("shuffle_hash"), "row", how)
+
+    def drop(self) -> None:
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        except Exception:  # the session may be gone at exit
+            pass
+        drop_path(self.spark, self.path)
+
+
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept: bytes of the kept words joined by single blanks) for each row."""
+    """(doc_id, n_words, n_removed, kept: bytes of the kept words joined by single blanks, repeats: maximal repeats) for each row."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", text_bytes(text).alias("text"))
-    rows = rows.withColumns({"ord": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text")})
-    name = f"granary_texts_{uuid.uuid4().hex}"
-    rows.repartition(n, *KEYS).write.bucketBy(n, *KEYS).saveAsTable(name)
-    atexit.register(lambda: drop_table(spark, name))
-    texts = spark.table(name)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    texts = Texts(docs.select("doc_id", text_bytes(text).alias("text")))
     settle(spark)
 
-    def replied(*replies: DataFrame, how: str = "left") -> DataFrame:
-        out = texts
-        for r in replies:
-            out = out.join(r.hint("shuffle_hash"), KEYS, how)
-        return out
-
-    def firsts(found: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows whose key also occurs in a document with a smaller id."""
-        least = found.groupBy(*keys).agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select(*keys, "least")
-        least = materialize(least, "least")  # the join then stands on two plain exchanges, which adaptive execution can split
-        settle(spark)
-        return found.join(least, keys).filter("least < ord")
-
-    keyed = "ord long, k1 long, k2 long"
-    blocks = over_texts(texts, emit_blocks, f"h1 long, h2 long, {keyed}, block int")
-    known = materialize(firsts(blocks, ["h1", "h2"]).groupBy(*KEYS).agg(F.collect_set("block").alias("blocks")), "repeat-blocks")
+    anchors = materialize(over_texts(texts.table, emit_anchors, f"anchor long, context long, id {id_type}, row long, start int, n tinyint, lo tinyint"), "anchors")
+    classes = materialize(anchors.groupBy("anchor", "context").agg(*first_and_last()), "classes")
     settle(spark)
-    anchors = over_texts(replied(known), emit_anchors, f"anchor long, {keyed}, pos int")
-    seeds = anchors.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("z")).filter("a < z").select("anchor")
-    seeds = materialize(seeds, "seeds")
+    total = anchors.count()
+    shared = classes.groupBy("anchor").agg(F.count("*").alias("classes_of"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("nulls").alias("nulls"))
+    opened = materialize(shared.filter((F.col("classes_of") > 1) & several()).select("anchor"), "open-anchors")
+    of_open = classes.join(opened.withColumn("open", F.lit(True)), "anchor", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    told = materialize(of_open.filter(F.col("open") | several()).select("anchor", "context", "least", "open", "rows_of"), "told-classes")
+    release(classes)
+    release(opened)
     settle(spark)
-    places = materialize(anchors.join(seeds, "anchor", "left_semi").groupBy(*KEYS).agg(F.collect_set("pos").alias("seeds")), "seed-places")
-    release(seeds)
+    joined = join_keyed(anchors, told, ["anchor", "context"], total)
+    later = smaller(F.col("least"), F.col("id"))
+    placed = materialize(joined.filter(later | F.col("open")).select("row", "start", F.col("n").cast("int").alias("n"), "least", later.alias("whole")), "places")
+    release(anchors)
+    release(told)
     settle(spark)
-    windows = over_texts(replied(known).join(places.hint("shuffle_hash"), KEYS), emit_windows, f"w1 long, w2 int, {keyed}, start int")
-    starts = materialize(firsts(windows, ["w1", "w2"]).groupBy(*KEYS).agg(F.collect_set("start").alias("starts")), "repeat-starts")
-    release(places)
-    settle(spark)
-    return over_texts(replied(known, starts), emit_result, "doc_id long, n_words long, n_removed long, kept binary")
 
+    asked = placed.filter("not whole").groupBy("row").agg(F.collect_list("start").alias("asked"))
+    contexts = materialize(over_texts(texts.with_reply(asked, "inner"), emit_contexts, f"anchor long, id {id_type}, row long, start int, lo tinyint, words binary"), "contexts")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row", "start", "lo", "words")
+    firsts = contexts.groupBy("anchor").agg(F.min(order).alias("f"), F.count("*").alias("rows_of"))
+    firsts = materialize(firsts.filter("rows_of > 1").select("anchor", "rows_of", F.col("f.id").alias("first_id"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"), F.col("f.lo").alias("first_lo"), F.col("f.words").alias("first_words")), "first-classes")
+    settle(spark)
+    pairs = join_keyed(contexts, firsts, ["anchor"], contexts.count()).filter("row <> first_row or start <> first_start")
+    pairs = pairs.select("row", "id", "start", "lo", "words", "first_id", "first_lo", "first_words", smaller(F.col("first_id"), F.col("id")).alias("smaller"))
+    parts = materialize(extended(pairs, id_type), "extended")
+    release(contexts)
+    release(firsts)
+    settle(spark)
 
-def drop_table(spark: SparkSession, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session may be gone at exit
-        pass
+    left = parts.filter("words is not null").select("row", "id", "start", "n", "words")
+    known = materialize(left.groupBy("words").agg(*first_and_last()).filter(several()).select("words", "least", "rows_of"), "windows")
+    left_repeats = join_keyed(left, known, ["words"], total).filter(smaller(F.col("least"), F.col("id"))).select("row", "start", "n", "least")
+    hits = placed.filter("whole").drop("whole").unionByName(parts.filter("words is null").select("row", "start", "n", F.col("source").alias("least"))).unionByName(left_repeats)
+    found = materialize(hits.groupBy("row").agg(F.collect_list(F.struct("start", "n", F.col("least").alias("source"))).alias("found")), "repeats")
+    for t in (placed, parts, known):
+        release(t)
+    settle(spark)
+    made = over_texts(texts.with_reply(found, "left"), emit_result, f"doc_id {id_type}, n_words long, n_removed long, kept binary, repeats array<struct<start:int,length:int,source:{id_type}>>")
+    return made
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

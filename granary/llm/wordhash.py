@@ -11,6 +11,8 @@ import numpy as np
 import xxhash
 
 LONG = 512
+#: Bytes of text that are hashed at a time; a longer word is one piece.
+PIECE = 1 << 20
 U = np.uint64
 BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -51,11 +53,29 @@ class Hasher:
         self.up, self.down = Powers(BASE), Powers(BASE_INVERSE)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """(hash, text number, start, end) of each word, and the buffer that starts and ends point into."""
-        buf = b"\n".join(texts) + b"\n"
+        """(hash, text number, start, end) of each word, and the buffer that starts and ends point into.
+
+        The buffer holds the words of each text joined by single blanks, so equal runs of words are equal bytes.
+        """
+        lines = [b" ".join(t.split()) for t in texts]
+        buf = b"\n".join(lines) + b"\n"
+        h, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(buf):  # pieces end behind a word, so a long text needs little more than its own size at a time
+            cut = buf.rfind(b" ", at, at + PIECE) + 1 if at + PIECE < len(buf) else len(buf)
+            cut = cut or min((k for k in (buf.find(b" ", at), buf.find(b"\n", at)) if k >= 0)) + 1
+            x, a, e = self.piece(buf[at:cut])
+            h.append(x)
+            starts.append(a + at)
+            ends.append(e + at)
+            at = cut
+        first = np.cumsum([0] + [len(t) + 1 for t in lines])[:-1]
+        start = np.concatenate(starts)
+        return np.concatenate(h), np.searchsorted(first, start, side="right") - 1, start, np.concatenate(ends), buf
+
+    def piece(self, buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = np.frombuffer(buf, np.uint8)
-        blank = SPACE[a]
-        edge = np.diff(np.r_[True, blank].astype(np.int8))
+        edge = np.diff(np.r_[True, SPACE[a], True].astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sums = np.r_[U(0), np.cumsum(BYTE_VALUE[a] * self.up.upto(len(a)))]
         h = (sums[ends] - sums[starts]) * self.down.upto(len(a) + 1)[starts]
@@ -63,8 +83,7 @@ class Hasher:
         h = mix(h ^ (size * GOLD))
         for k in np.flatnonzero(size > LONG):
             h[k] = xxhash.xxh64_intdigest(buf[starts[k] : ends[k]], 3)
-        first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
-        return h, np.searchsorted(first, starts, side="right") - 1, starts, ends, buf
+        return h, starts, ends
 
     def spans(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """One hash for each run of words [start, end)."""

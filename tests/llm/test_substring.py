@@ -76,3 +76,50 @@ def test_query(spark, sf_dir):
     got = {r.doc_id: r for r in S.op7_substring_dedup(spark, sf_dir).collect()}
     for i, n, gone, kept in plain(list(zip(d.doc_id.tolist(), d.text, strict=True))):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, gone, hashlib.sha256(kept).hexdigest())
+
+
+def test_words_decide_where_polynomial_hashes_agree(spark):
+    """The Thue-Morse sequence and its complement have equal polynomial hashes modulo a power of two, whatever the base."""
+    bits = [bin(k).count("1") & 1 for k in range(1 << 10)]
+    rows = [(1, "x " + " ".join(("red", "blue")[b] for b in bits)), (2, "x " + " ".join(("blue", "red")[b] for b in bits))]
+    check(spark, rows)
+
+
+def test_hot_anchors_are_broadcast_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    monkeypatch.setattr(S, "HOT_KEYS", 1 << 40)
+    r = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    check(spark, [(k, f"u{k} " * int(r.integers(0, 3)) + passage + f" v{k % 4}" * int(r.integers(0, 20))) for k in range(40)])
+
+
+def test_repeats_are_maximal_and_name_their_source(spark):
+    a, b = ([f"{c}{k}" for k in range(40)] for c in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", "y", *a[5:35], "z", *b, "w"])), (4, " ".join(a[:12]))]
+    got = {r.doc_id: [tuple(x) for x in r.repeats] for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [(2, 30, 1), (33, 40, 2)], 4: []}
+
+
+def test_ids_of_any_type(spark):
+    run = " ".join(f"w{k}" for k in range(20))
+    rows = [("b", run), ("a", run), (None, run), ("", "q")]
+    got = {r.doc_id: r.n_removed for r in S.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": 0, "b": 20, None: 20, "": 0}
+
+
+def test_pieces_of_a_long_text_hash_alike(monkeypatch):
+    from granary.llm import wordhash
+
+    text = b" ".join(b"w%d" % (k * k) for k in range(3000)) + b"\n" + b"q" * 900 + b" end"
+    whole = Hasher().words([text, b"", b"a b"])
+    monkeypatch.setattr(wordhash, "PIECE", 97)
+    cut = Hasher().words([text, b"", b"a b"])
+    assert all(np.array_equal(x, y) for x, y in zip(whole[:4], cut[:4], strict=True))
+
+
+def test_texts_lie_in_the_shared_folder(spark, tmp_path):
+    from granary.llm.common import scratch_dir, text_bytes
+
+    t = S.Texts(spark.createDataFrame([(1, "a")], "doc_id long, text string").select("doc_id", text_bytes().alias("text")))
+    assert t.path.startswith(scratch_dir(spark)) and t.table.count() == 1
+    t.drop()
