@@ -6,10 +6,10 @@ goes. Each window has one anchor, the run of ``SEED`` words in it with the small
 of equals), so equal windows have equal anchors at equal offsets. An anchor's context is all the words
 of the windows that have it; the windows of an anchor are consecutive. The steps:
 
-1. Seeds: anchors with their contexts' hashes are written once. Occurrences with an equal anchor and
-   an equal context (64 bits of the anchor's words, 64 bits by an unrelated function of the bytes of
-   the context) are one class; those outside the class's document with the smallest id are repeats as
-   a whole.
+1. Seeds: anchors with their contexts' hashes are written once, and those that two or more documents
+   have are kept. Occurrences with an equal anchor and an equal context (64 bits of the anchor's words,
+   64 bits by an unrelated function of the bytes of the context) are one class; those outside the
+   class's document with the smallest id are repeats as a whole.
 2. Extension: an anchor that several classes of several documents share is open. Each class joins
    the first class of its anchor, and the match is extended word by word from the anchor to the left
    and to the right. Windows inside the match repeat the first class's document.
@@ -18,8 +18,9 @@ of the windows that have it; the windows of an anchor are consecutive. The steps
 4. Neighbouring repeats with the same source merge into maximal repeats (start, length, source).
 
 Cost at scale: the texts move once, into a table bucketed by row in the shared scratch folder, so the
-later joins of texts with small per-row replies move the replies alone. Minima are taken before the
-shuffle. A class or anchor joins one row, so pairs of documents are never made and an anchor in a
+later joins of texts with small per-row replies move the replies alone. Anchors are looked up in
+``ROUNDS`` ranges of their hash, one after another, which divides the scratch space of that step. Minima
+are taken before the shuffle. A class or anchor joins one row, so pairs of documents are never made and an anchor in a
 third of all documents costs one row for each; keys with more than 1/``HOT_KEYS`` of all rows, of which
 there can be ``HOT_KEYS`` at most, are broadcast instead of shuffled (a row has at most about 1.3 kB,
 as longer words count by their SHA-256).
@@ -33,6 +34,7 @@ doc_id and text are read, so extra columns, whatever their names, are not part o
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import hashlib
 import uuid
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialize, read_table, release, scratch_dir, text_bytes
 from .wordhash import Hasher, U, groups
 
-WINDOW, SEED = 13, 7
+WINDOW, SEED, ROUNDS = 13, 5, 4
 #: Words of more bytes count by their SHA-256 in extensions, which bounds a context.
 LONG_WORD = 64
 #: Keys with more rows than this and than 1 / HOT_KEYS of all rows are broadcast.
@@ -248,7 +250,7 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -
     """
     bound = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(table.filter(F.col("rows_of") > bound))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("rows_of") <= bound), keys)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("rows_of") <= bound).hint("shuffle_hash"), keys)
     return cold.unionByName(rows.join(hot, keys))
 
 
@@ -262,6 +264,19 @@ def several() -> Column:
     return F.col("least").isNotNull() & (F.col("nulls") | (F.col("least") < F.col("most")))
 
 
+def seeds_of(anchors: DataFrame, rounds: int = ROUNDS) -> list[DataFrame]:
+    """The anchors that stand in more than one document, in a table for each range of hashes."""
+    total, out = anchors.count(), []
+    for k in range(rounds):
+        some = anchors.filter(F.pmod("anchor", F.lit(rounds)) == k)
+        known = materialize(some.groupBy("anchor").agg(*first_and_last()).filter(several()).select("anchor", "rows_of"), "seeds")
+        found = materialize(join_keyed(some, known, ["anchor"], total).drop("rows_of"), "seeded")
+        release(known)
+        settle(anchors.sparkSession)
+        out.append(found)
+    return out
+
+
 class Texts:
     """The texts in a table bucketed by row, in the shared scratch folder."""
 
@@ -293,21 +308,22 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     settle(spark)
 
     anchors = materialize(over_texts(texts.table, emit_anchors, f"anchor long, context long, id {id_type}, row long, start int, n tinyint, lo tinyint"), "anchors")
-    classes = materialize(anchors.groupBy("anchor", "context").agg(*first_and_last()), "classes")
+    ranges = seeds_of(anchors)
+    seeded = functools.reduce(DataFrame.unionByName, ranges)
+    release(anchors)
     settle(spark)
-    total = anchors.count()
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("classes_of"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("nulls").alias("nulls"))
-    opened = materialize(shared.filter((F.col("classes_of") > 1) & several()).select("anchor"), "open-anchors")
-    of_open = classes.join(opened.withColumn("open", F.lit(True)), "anchor", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    total = seeded.count()
+    classes = materialize(seeded.groupBy("anchor", "context").agg(*first_and_last()), "classes")
+    shared = classes.groupBy("anchor").agg(F.count("*").alias("classes_of")).filter("classes_of > 1").select("anchor", F.lit(True).alias("open"))
+    of_open = classes.join(shared, "anchor", "left").withColumn("open", F.coalesce("open", F.lit(False)))
     told = materialize(of_open.filter(F.col("open") | several()).select("anchor", "context", "least", "open", "rows_of"), "told-classes")
     release(classes)
-    release(opened)
     settle(spark)
-    joined = join_keyed(anchors, told, ["anchor", "context"], total)
+    joined = join_keyed(seeded, told, ["anchor", "context"], total)
     later = smaller(F.col("least"), F.col("id"))
     placed = materialize(joined.filter(later | F.col("open")).select("row", "start", F.col("n").cast("int").alias("n"), "least", later.alias("whole")), "places")
-    release(anchors)
-    release(told)
+    for t in (*ranges, told):
+        release(t)
     settle(spark)
 
     asked = placed.filter("not whole").groupBy("row").agg(F.collect_list("start").alias("asked"))
