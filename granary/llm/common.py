@@ -136,6 +136,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return joined.groupBy("doc_id", "y").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
 
 
+#: Keys with more rows than this and than 1 / HOT_KEYS of all rows are hot.
+HOT_ROWS, HOT_KEYS = 10_000, 2_000
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with the one row that ``table`` has for each key, with the number ``rows_of`` of rows of the key.
+
+    Hot keys are broadcast: keys with over 1 / HOT_KEYS of ``total`` rows number less than HOT_KEYS.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.filter(F.col("rows_of") > bound))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("rows_of") <= bound).hint("shuffle_hash"), keys)
+    return cold.unionByName(rows.join(hot, keys))
+
+
 class Memo(dict):
     """A function's values by argument, emptied when it holds ``most``."""
 

@@ -3,13 +3,14 @@
 Each document gets counts (words, symbols, repeated lines, repeated words). Fixed base rules drop
 the plainly unusable. For all others, limits are learnt from the corpus itself: one mergeable
 quantile sketch (KLL) per measure, language and source. Groups of fewer than ``least_rows`` rows take
-the sketch merged over their language, and languages of too few rows the one merged over all. A
-document fails a measure beyond the third quartile plus ``fence`` times the spread of the quartiles
-(never less than a floor for each measure), and on the low side likewise.
+the sketch merged over their language, and languages of too few rows the one merged over all. A limit
+lies beyond the sketch's quantile ``TAIL`` by ``fence`` times that quantile's distance from the median;
+word length is limited on the low side likewise. Shares limit a count of events: of e expected at the limit,
+a document may hold e + ``NOISE`` * sqrt(e) + ``NOISE``, so a few events in a group without any prove nothing.
 
 Cost at scale: one scan, a small written table of counts (no texts), one aggregation whose partial
-sketches are made before the shuffle, and a join of counts with limits that is salted, since one
-source may hold a third of all rows.
+sketches are made before the shuffle, and a join of counts with limits in which the hot groups, whose
+number is bounded, are broadcast, since one source may hold a third of all rows.
 
 Null texts have no words, so they fail the base rules. A null language or source counts as the empty
 string. Repeated rows each get a row. An empty table gives an empty result; ``with_verdicts`` keeps
@@ -21,16 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import join_keyed, materialize, read_table
 
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Least spread of the quartiles that a fence takes into account, by measure.
-FLOORS = {"symbols_per_word": 0.03, "dup_line_share": 0.06, "repeat_share": 0.07, "word_length": 0.6}
-#: Measures that can also be too low.
-TWO_SIDED = ("word_length",)
-SALTS = 64
+#: Quantile whose distance from the median measures a group's spread, and standard errors of a count that prove nothing.
+TAIL, NOISE = 0.85, 3.0
+#: Shares that limit a count: (count, number that it is a share of, size of one event: a window found again makes six words).
+SHARES = {"symbols_per_word": ("n_symbols", "n_words", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 6)}
+MEASURES = (*SHARES, "word_length")
 
 
 def add_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,40 +81,38 @@ def base_failed() -> Column:
 
 
 def measures() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
-    }
+    of = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    return {m: F.col(c) / of(n) for m, (c, n, _) in SHARES.items()} | {"word_length": F.col("word_chars") / of("n_words")}
 
 
 def limits(counts: DataFrame, fence: float = 6.0, least_rows: int = 200, k: int = 1000) -> DataFrame:
-    """One row per language and source with ``hi_*`` and ``lo_*`` limits, from merged KLL sketches."""
-    rows = counts.filter(~base_failed()).select("__lang", "__source", *[c.alias(m) for m, c in measures().items()])
-    sketches = materialize(
-        rows.groupBy("__lang", "__source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in FLOORS]), "sketches"
-    )
-    merged = [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in FLOORS]
-    by_lang = sketches.groupBy("__lang").agg(F.sum("n").alias("n"), *merged)
-    overall = sketches.groupBy().agg(F.sum("n").alias("n"), *merged).withColumn("__one", F.lit(1))
+    """One row per language and source: ``hi_*`` of each measure, ``lo_word_length``, and ``rows_of``, the rows of the group."""
+    passed = counts.select("__lang", "__source", base_failed().alias("failed"), *[F.when(~base_failed(), c).alias(m) for m, c in measures().items()])
+    sketches = passed.groupBy("__lang", "__source").agg(F.count("*").alias("rows_of"), F.count_if(~F.col("failed")).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in MEASURES])
+    sketches = materialize(sketches, "sketches")
+    some, merged = sketches.filter("n > 0"), [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in MEASURES]
 
-    def quartiles(t: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    def quantiles() -> Column:
         q = lambda m, p: F.kll_sketch_get_quantile_double(m, F.lit(p))
-        return t.select(*keys, F.struct("n", *[F.struct(q(m, 0.25).alias("q1"), q(m, 0.75).alias("q3")).alias(m) for m in FLOORS]).alias(at))
-
-    own, lang, total = quartiles(sketches, "own", ["__lang", "__source"]), quartiles(by_lang, "lang", ["__lang"]), quartiles(overall.filter("n > 0"), "total", ["__one"])
-    joined = own.withColumn("__one", F.lit(1)).join(lang, "__lang").join(total, "__one")
-    used = F.when(F.col("own.n") >= least_rows, F.col("own")).when(F.col("lang.n") >= least_rows, F.col("lang")).otherwise(F.col("total"))
-    out = joined.select("__lang", "__source", used.alias("u"))
-    spread = {m: fence * F.greatest(F.col(f"u.{m}.q3") - F.col(f"u.{m}.q1"), F.lit(floor)) for m, floor in FLOORS.items()}
-    return out.select(
-        "__lang",
-        "__source",
-        *[(F.col(f"u.{m}.q3") + s).alias(f"hi_{m}") for m, s in spread.items()],
-        *[(F.col(f"u.{m}.q1") - spread[m]).alias(f"lo_{m}") for m in TWO_SIDED],
-    )
+        return F.struct("n", *[F.struct(q(m, 1 - TAIL).alias("low"), q(m, 0.5).alias("mid"), q(m, TAIL).alias("high")).alias(m) for m in MEASURES])
+
+    by_lang = some.groupBy("__lang").agg(F.sum("n").alias("n"), *merged).select("__lang", quantiles().alias("lang"))
+    total = some.groupBy().agg(F.sum("n").alias("n"), *merged).filter("n > 0").select(quantiles().alias("total")).scalar()
+    own = sketches.select("__lang", "__source", "rows_of", F.when(F.col("n") > 0, quantiles()).alias("own"))
+    used = F.when(F.col("own.n") >= least_rows, F.col("own")).when(F.col("lang.n") >= least_rows, F.col("lang")).otherwise(total)
+    out = own.join(by_lang, "__lang", "left").select("__lang", "__source", "rows_of", used.alias("u"))
+    at = lambda m, end: F.col(f"u.{m}.{end}") + fence * (F.col(f"u.{m}.{end}") - F.col(f"u.{m}.mid"))
+    return out.select("__lang", "__source", "rows_of", *[at(m, "high").alias(f"hi_{m}") for m in MEASURES], at("word_length", "low").alias("lo_word_length"))
+
+
+def beyond() -> list[Column]:
+    """Names of the measures that are beyond their limits, else null."""
+    out = []
+    for m, (count, of, size) in SHARES.items():
+        expected = F.col(f"hi_{m}") * F.greatest(F.col(of), F.lit(1)) / size
+        out.append(F.when(F.col(count) / size > expected + NOISE * F.sqrt(expected) + NOISE, F.lit(f"high_{m}")))
+    length = measures()["word_length"]
+    return [*out, F.when(length > F.col("hi_word_length"), F.lit("high_word_length")), F.when(length < F.col("lo_word_length"), F.lit("low_word_length"))]
 
 
 def with_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = 6.0, least_rows: int = 200) -> DataFrame:
@@ -121,11 +120,9 @@ def with_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__lang": blank(lang), "__source": blank(source)})
     counts = materialize(add_counts(keyed, text).drop(text), "quality-counts")
-    lim = limits(counts, fence, least_rows).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = counts.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in counts.columns if not c.startswith("__")]), F.lit(SALTS)).cast("int"))
-    beyond = [F.when(c > F.col(f"hi_{m}"), F.lit(f"high_{m}")) for m, c in measures().items()] + [F.when(measures()[m] < F.col(f"lo_{m}"), F.lit(f"low_{m}")) for m in TWO_SIDED]
-    judged = salted.join(lim, ["__lang", "__source", "__salt"], "left").withColumns({"failed": F.array_compact(F.array(*beyond)), "base_failed": base_failed()})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("__lang", "__source", "__salt", *[f"hi_{m}" for m in FLOORS], *[f"lo_{m}" for m in TWO_SIDED])
+    lim = materialize(limits(counts, fence, least_rows), "quality-limits")
+    judged = join_keyed(counts, lim, ["__lang", "__source"], counts.count()).withColumns({"failed": F.array_compact(F.array(*beyond())), "base_failed": base_failed()})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(*[c for c in lim.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,7 @@ Cost at scale: the texts move once, into a table bucketed by row in the shared s
 later joins of texts with small per-row replies move the replies alone. Anchors are looked up in
 ``ROUNDS`` ranges of their hash, one after another, which divides the scratch space of that step. Minima
 are taken before the shuffle. A class or anchor joins one row, so pairs of documents are never made and an anchor in a
-third of all documents costs one row for each; keys with more than 1/``HOT_KEYS`` of all rows, of which
-there can be ``HOT_KEYS`` at most, are broadcast instead of shuffled (a row has at most about 1.3 kB,
+third of all documents costs one row for each; hot keys (``join_keyed``), whose number is bounded, are broadcast instead of shuffled (a row has at most about 1.3 kB,
 as longer words count by their SHA-256).
 
 A null text has no words. doc_id may have any type that has an order; a null one counts as larger
@@ -44,14 +43,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, read_table, release, scratch_dir, text_bytes
+from .common import drop_path, join_keyed, materialize, read_table, release, scratch_dir, text_bytes
 from .wordhash import Hasher, U, groups
 
 WINDOW, SEED, ROUNDS = 13, 5, 4
 #: Words of more bytes count by their SHA-256 in extensions, which bounds a context.
 LONG_WORD = 64
-#: Keys with more rows than this and than 1 / HOT_KEYS of all rows are broadcast.
-HOT_ROWS, HOT_KEYS = 10_000, 2_000
 
 
 def first_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -243,17 +240,6 @@ def smaller(a: Column, b: Column) -> Column:
     return a.isNotNull() & (b.isNull() | (a < b))
 
 
-def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join of rows with the one row that ``table`` has for each key, with the number ``rows_of`` of rows of the key.
-
-    Hot keys are broadcast: keys with over 1 / HOT_KEYS of ``total`` rows number less than HOT_KEYS.
-    """
-    bound = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(table.filter(F.col("rows_of") > bound))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("rows_of") <= bound).hint("shuffle_hash"), keys)
-    return cold.unionByName(rows.join(hot, keys))
-
-
 def first_and_last(by: str = "id") -> list[Column]:
     """Least and greatest id of a group (nulls aside), whether it has a null id, and its number of rows."""
     return [F.min(by).alias("least"), F.max(by).alias("most"), F.max(F.col(by).isNull()).alias("nulls"), F.count("*").alias("rows_of")]

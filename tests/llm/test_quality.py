@@ -49,6 +49,49 @@ def test_limits_adapt_to_the_source(spark):
     assert got[5001].base_failed and got[5002].base_failed and not got[5001].kept and got[5003].kept
 
 
+def test_limits_are_the_groups_quantiles(spark):
+    """Against quantiles of all rows; the two sources differ by what their sketches learnt."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"{w}{j}" + "#" * int(rng.random() < share) for j, w in enumerate(rng.choice(["tree", "river", "hill", "walks"], 200))), "en", s) for k in range(1200) for s, share in [(("a", 0.02), ("b", 0.3))[k % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = R.add_counts(df.selectExpr("*", "lang as __lang", "source as __source")).persist()
+    got = {r["__source"]: r.asDict() for r in R.limits(kept).collect()}
+    true = kept.filter(~R.base_failed()).select("__source", *[c.alias(m) for m, c in R.measures().items()]).toPandas()
+    for source, part in true.groupby("__source"):
+        for m in R.MEASURES:
+            ends = [part[m].quantile([max(0, p - 0.02), min(1, p + 0.02)]).tolist() for p in (0.5, R.TAIL)]  # the error of the sketch in rank
+            low, high = ends[1][0] + 6 * (ends[1][0] - ends[0][1]), ends[1][1] + 6 * (ends[1][1] - ends[0][0])
+            assert low - 1e-9 <= got[source][f"hi_{m}"] <= high + 1e-9
+    assert got["b"]["hi_symbols_per_word"] > 3 * got["a"]["hi_symbols_per_word"]
+    kept.unpersist()
+
+
+def test_no_fixed_value_decides_on_documents(spark):
+    """In most groups the limit of a measure with any spread comes from the sketch, not from the allowance for noise."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "lang as __lang", "source as __source")
+    lim = R.limits(R.add_counts(docs)).collect()
+    assert len(lim) > 10 and all(r.hi_word_length > 5 > r.lo_word_length > 0 for r in lim)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = {r.doc_id: r.kept for r in R.op6_quality_rules(spark, d).filter("not base_failed").collect()}
+    good, bad = ([got[i] for i in got if labels.get(i) == y] for y in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
+def test_repeated_rows_and_a_hot_source(spark, make_docs, monkeypatch):
+    from granary.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 40)
+    docs = make_docs([" ".join(f"w{j}" for j in range(60))] * 4 + ["w " * 100_000], [1, 1, 1, 2, 3])
+    got = sorted((r.doc_id, r.kept, r.n_words) for r in R.with_verdicts(docs).collect())
+    assert got == [(1, True, 60)] * 3 + [(2, True, 60), (3, False, 100_000)]
+
+
 def test_rules_on_empty_table_and_clashing_columns(spark, make_docs):
     docs = make_docs(["a b c"] * 3).selectExpr("*", "'x' as n_words", "1 as kept", "2 as failed")
     got = R.with_verdicts(docs).collect()

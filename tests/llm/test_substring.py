@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from granary.llm import common
 from granary.llm import substring_dedup as S
 from granary.llm.wordhash import Hasher
 
@@ -86,8 +87,8 @@ def test_words_decide_where_polynomial_hashes_agree(spark):
 
 
 def test_hot_anchors_are_broadcast_with_the_same_result(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_ROWS", 3)
-    monkeypatch.setattr(S, "HOT_KEYS", 1 << 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 40)
     r = np.random.default_rng(5)
     passage = " ".join(f"p{k}" for k in range(30))
     check(spark, [(k, f"u{k} " * int(r.integers(0, 3)) + passage + f" v{k % 4}" * int(r.integers(0, 20))) for k in range(40)])
