@@ -18,7 +18,8 @@ behind a cycle have a null level and the status "cyclic".
 
 Arguments are checked against a JSON schema for each tool (type, required, properties, items, enum,
 const, minimum, maximum, minLength, maxLength, additionalProperties). Canonical JSON: keys sorted by
-code point, no blanks, UTF-8, whole floats as integers; no NaN or infinity.
+code point, no blanks, UTF-8, whole floats as integers; no NaN or infinity. Of equal keys in one object
+the last counts. An object with a lone surrogate in it is not JSON here, so its text is a message.
 
 No conversation is gathered in one task: one conversation, or one id, may hold any share of the
 rows. Nulls: a null conv_id or call_id links nothing, a null turn sorts first, a null text is an
@@ -28,6 +29,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 
@@ -114,7 +116,7 @@ def load_object(text: str):
         return None
     try:
         v = json.loads(text)
-        canonical(v)
+        canonical(v).encode()  # a lone surrogate is no text
     except (ValueError, RecursionError, OverflowError):
         return None
     return v if isinstance(v, dict) else None
@@ -172,6 +174,8 @@ def split_parts(messages: DataFrame, schemas: dict, exchange: bool) -> DataFrame
 
 
 KEY = ["conv_id", "call_id"]
+#: Open references of a conversation up to which one task follows them.
+MOST_FOLLOWED = 1_000_000
 
 
 def follow(rows: list[dict]) -> list[dict]:
@@ -213,17 +217,29 @@ def follow_chains(wait: DataFrame, known: DataFrame, done: DataFrame) -> DataFra
 def levels(calls: DataFrame, joined_rounds: int = 20) -> DataFrame:
     """(conv_id, call_id, level, order_turn) of first calls that have no cycle behind them; references to unknown ids do not count.
 
-    Joins are repeated until nothing changes. Conversations with chains of over ``joined_rounds`` calls are
-    followed to their end one by one, so chains of any length get their level.
+    Joins are repeated until nothing changes. After ``joined_rounds`` of them, conversations with at most
+    ``MOST_FOLLOWED`` open references are followed to their end one by one, each in one task; joins go on
+    for the others, so chains of any length get their level and no task holds an unbounded conversation.
     """
     known = materialize(calls.select(*KEY, "turn", "answered_turn", "refs"), "calls")
     wait = known.select("conv_id", F.col("call_id").alias("of"), F.explode("refs").alias("call_id")).join(known.select(*KEY), KEY, "left_semi")
     wait = materialize(wait.distinct(), "waits")
     free = known.join(wait.select("conv_id", F.col("of").alias("call_id")), KEY, "left_anti")
     done = materialize(free.select(*KEY, F.lit(0).alias("level"), F.coalesce("turn", F.lit(-1)).cast("long").alias("order_turn"), "answered_turn"), "done")
-    for _ in range(joined_rounds):
+    followed = False
+    for k in itertools.count():
         if wait.isEmpty():
             break
+        if k >= joined_rounds and not followed:
+            followed = True
+            small = wait.groupBy("conv_id").agg(F.count("*").alias("open")).filter(F.col("open") <= MOST_FOLLOWED).select("conv_id")
+            chains = materialize(follow_chains(wait.join(small, "conv_id", "left_semi"), known, done), "done")
+            rest = materialize(wait.join(small, "conv_id", "left_anti"), "waits")
+            done, old = materialize(done.unionByName(chains), "done"), (wait, done, chains)
+            wait = rest
+            for t in old:
+                release(t)
+            continue
         # a call is next if all that it waits for is done
         state = wait.join(done, KEY, "left").groupBy("conv_id", "of").agg(
             F.every(F.col("level").isNotNull()).alias("ready"),
@@ -239,9 +255,6 @@ def levels(calls: DataFrame, joined_rounds: int = 20) -> DataFrame:
         done, wait = materialize(done.unionByName(new), "done"), rest
         for t in (*old, new):
             release(t)
-    else:
-        if not wait.isEmpty():
-            done = done.unionByName(materialize(follow_chains(wait, known, done), "done"))
     return done.select(*KEY, "level", "order_turn")
 
 

@@ -20,3 +20,10 @@ def test_following_equals_joining(spark, rounds):
     rows = [(c, f"k{k}", (k * 7) % 11, None if k % 3 else (k * 5) % 13, [f"k{j}" for j in range(k) if (j * k + c) % 4 == 0] + (["k9"] if k == 8 and c else [])) for c in range(3) for k in range(12)]
     calls = spark.createDataFrame(rows, CALLS)
     assert sorted(C.levels(calls, rounds).collect()) == sorted(C.levels(calls, 100).collect())
+
+
+def test_large_conversations_go_on_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_FOLLOWED", 3)
+    rows = [(c, f"k{k}", k, None, [f"k{k - 1}"] if k else []) for c, n in ((0, 7), (1, 3)) for k in range(n)]
+    got = {(r.conv_id, r.call_id): r.level for r in C.levels(spark.createDataFrame(rows, CALLS), 1).collect()}
+    assert got == {(c, f"k{k}"): 2 * k for c, n in ((0, 7), (1, 3)) for k in range(n)}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import chat_format as C
 from granary.llm import url_filter as U
@@ -116,3 +117,36 @@ def test_url_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     plan = U.judge(df, [0.0] * (U.BUCKETS + 1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_training_equals_gradient_descent_on_the_weights(spark):
+    """The dual form against plain gradient descent over the buckets, on the same hashed grams."""
+    import numpy as np
+
+    rows = U.add_host_path(U.labelled_urls(spark)).select("label", U.grams(F.col("host"), F.col("path")).alias("g")).collect()
+    x = np.zeros((len(rows), U.BUCKETS + 1))
+    for k, r in enumerate(rows):
+        np.add.at(x[k], r.g, 1 / np.sqrt(len(r.g)))
+    x[:, U.BUCKETS] = 1
+    y, w = np.array([r.label for r in rows], float), np.zeros(U.BUCKETS + 1)
+    for _ in range(U.STEPS):
+        w = w * (1 - U.RATE * U.DECAY) + U.RATE / len(y) * (x.T @ (y - 1 / (1 + np.exp(-(x @ w)))))
+    assert np.allclose(U.train(U.labelled_urls(spark)), w, atol=1e-9)
+
+
+def test_labelled_hosts_are_not_those_of_the_pages(spark, sf_dir):
+    hosts = {h.host for h in U.add_host_path(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("host").distinct().collect()}
+    assert not {label for h in hosts for label in h.split(".")} & {part for name in (*U.BAD, *U.GOOD) for part in name.split(".")} - {"www", "m", "blog", "docs", "news", "forum"}
+
+
+def test_long_and_repeated_urls(spark):
+    long = "https://" + "a" * 5000 + ".net/" + "b/" * 50_000
+    got = U.judge(spark.createDataFrame([(1, long), (1, long), (2, "://"), (3, "http:///x")], "page_id long, url string"), [0.0] * (U.BUCKETS + 1)).collect()
+    assert [(r.page_id, len(r.host), len(r.path)) for r in got] == [(1, 5004, 100_001)] * 2 + [(2, 0, 0), (3, 0, 2)]
+
+
+def test_lone_surrogates_and_long_texts(spark):
+    rows = [(1, 1, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"add","arguments":{"a":1}}]}'), (1, 2, "assistant", '{"tool_calls":[{"id":"k","name":"add","arguments":"{\\"a\\":\\"\\\\udc00\\"}"}]}'), (1, 3, "tool", '{"tool_call_id":"\\udfff"}'), (2, 1, "user", "x " * 500_000), (2, 1, "user", "x " * 500_000), (3, 1, "assistant", calls(("d", "add", {"a": 1})).replace('"a": 1', '"a": 7, "a": 2'))]
+    got = C.link_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), SCHEMAS).collect()
+    assert sorted((r.conv_id, r.turn, r.kind, r.errors) for r in got) == [(1, 1, "message", []), (1, 2, "call", ["$:not_json"]), (1, 3, "message", []), (2, 1, "message", []), (2, 1, "message", []), (3, 1, "call", [])]
+    assert next(r.json for r in got if r.conv_id == 3) == '{"args":{"a":2},"id":"d","name":"add","type":"call"}'
