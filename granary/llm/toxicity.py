@@ -3,20 +3,22 @@
 1. A character trigram model is counted over the words of every document (each partition sends its
    own counts, which are added up; the sums have a fixed size, ``SYMBOLS`` cubed at most).
 2. Each token becomes a lattice: a letter stands for itself or, after an equal one, for nothing
-   (repetition); a digit or sign stands for the letters it resembles, for nothing or for itself
-   (leetspeak); a dot, dash or the like between letters stands for nothing or a word end; single
-   characters set apart by blanks form one lattice with an optional word end in each gap (spacing).
-   Viterbi decoding under the character model picks the most probable reading. Tokens whose lattice
-   has one path (letters without a run of three) need no decoding.
+   (repetition); a digit or sign stands for the letters it resembles or for nothing, a digit also for
+   itself, a sign for a word end (leetspeak); a dot, dash or the like between letters stands for nothing
+   or a word end; single characters set apart by blanks form one lattice with an optional word end in
+   each gap (spacing). Viterbi decoding under the character model picks the most probable reading.
+   Tokens whose lattice has one path (letters without a run of three) need no decoding; nor do numbers
+   (digits alone). A token of signs and digits is decoded if all its characters resemble letters.
 3. Restored words, with runs squeezed to one letter, and their prefixes are looked up in a lexicon
    learnt from the labels: features for which the lower confidence limit of the share of toxic
    documents among those that contain it is at least ``LEAST_SHARE``, weighted by a logistic
    regression on their presence. A document's score is that regression's probability, or the lower
    limit of its surest whole word if that is larger.
 
-Learning takes at most ``MAX_LABELLED`` labelled rows and keeps at most ``MAX_FEATURES`` features
-(bounds of the method); the character counts cover all documents. Null texts count as empty and get
-the prior as their score; null or repeated doc_ids each keep their row; empty tables give an empty
+Learning takes at most ``MAX_LABELLED`` labelled rows (a bound of the method), and every feature of these
+that is sure enough; the character counts cover all documents. Null texts count as empty and get
+the prior as their score; null or repeated doc_ids and equal texts each keep their row, with equal
+scores for equal texts; of readings with equal probability the smaller text counts; empty tables give an empty
 result; without usable labels the score is 0.1. Extra columns pass through ``score_documents``.
 """
 
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, labelled_sample, map_rows, read_table, text_bytes
+from .common import Memo, held_out, labelled_sample, map_rows, materialize, read_table, release, text_bytes
 
 #: The letters of the character model; 0 is a word end, the last symbol any other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
@@ -39,17 +41,19 @@ OTHER = SYMBOLS - 1
 #: The letters that a character may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
+    "@": "a", "#": "h", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
     "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k",
 }
 SEPARATORS = frozenset(".,-_*~'`^:;/\\#%&=·​‌‍­﻿")
 EDGE = " .,;:?!\"'()[]{}<>…*&%#~`-_/\\|+=^«»„“”‚‘’–—$@​﻿"
 #: Natural logarithms of the channel's probabilities.
-SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_SECOND, DROP_THIRD, KEEP_SIGN, SPLIT = -0.3, -9.0, -1.0, -2.0, -0.3, -9.0, -1.5
+SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_SECOND, DROP_THIRD, KEEP_SIGN, KEEP_DIGIT, SPLIT = -0.3, -9.0, -1.0, -2.0, -0.3, -9.0, -1.5, -1.5
+PUNCTUATION = ".,;:?\"'()[]{}<>…"
+LOOKALIKE = frozenset(LEET)
 WEIGHTS = (0.75, 0.2, 0.05)  # of trigram, bigram and single counts
 
-MAX_LABELLED, MAX_FEATURES, CONFIDENCE, LEAST_SHARE = 20_000, 5_000, 2.0, 0.5
+MAX_LABELLED, CONFIDENCE, LEAST_SHARE = 20_000, 2.0, 0.5
 #: A whole word whose lower limit is at least this speaks for itself, however many others usually stand beside it.
 ALONE = 0.8
 PREFIXES = (4, 5, 6, 7, 8)
@@ -128,8 +132,9 @@ def options(chars: str) -> list[list[tuple[str, float]]]:
         elif c in CODE:
             out.append([(c, 0.0)] + ([("", DROP_SECOND if run == 2 else DROP_THIRD)] if run > 1 else []))
         elif c in LEET:
-            o = [(x, SUBSTITUTE) for x in LEET[c]] + [("\0", KEEP_SIGN)]
-            out.append(o + [("", DROP_THIRD if run > 1 else DROP_SIGN)])
+            marks = [("", DROP_MARK), ("\0", SPLIT)] if c in SEPARATORS else [("", DROP_THIRD if run > 1 else DROP_SIGN)]
+            own = (c, KEEP_DIGIT) if c.isdigit() else ("\0", KEEP_SIGN)
+            out.append([(x, SUBSTITUTE) for x in LEET[c]] + ([own] if own[0] not in [x for x, _ in marks] else []) + marks)
         elif c in SEPARATORS:
             out.append([("", DROP_MARK), ("\0", SPLIT)])
         else:
@@ -162,6 +167,9 @@ def viterbi(chars: str, table: list[list[list[float]]]) -> str:
 
 def restore_token(token: str, table) -> str:
     """A lower-cased token without edge marks, decoded if its lattice has more than one path."""
+    bare = token.strip(PUNCTUATION)
+    if len(bare) > 2 and LOOKALIKE.issuperset(bare) and not bare.isdigit():
+        return viterbi(bare, table)
     core = token.strip(EDGE)
     if core and core is not token and len(token) > len(core):
         # a sign that can be a letter stays where it touches the word: $tupid, @sshole, clas$
@@ -235,20 +243,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return {"features": out}
 
     sample = sample.groupBy("text").agg(F.max("y").alias("y"))  # copies of a text count once
-    rows = map_rows(sample, ["text"], run, {"features": "array<string>"}, keep=["y"])
-    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
+    rows = materialize(map_rows(sample, ["text"], run, {"features": "array<string>"}, keep=["y"]), "toxicity-features")
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
     prior = (totals.pos + 1) / (totals.n + 10)
     z2 = CONFIDENCE**2
     p, n = F.col("pos") / F.col("n"), F.col("n")
     low = (p + z2 / (2 * n) - CONFIDENCE * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     stats = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("low", low)
-    got = stats.filter((F.col("low") >= LEAST_SHARE) & (F.col("low") > 2 * prior)).orderBy(F.desc("low"), "f").limit(MAX_FEATURES).collect()
+    got = stats.filter((F.col("low") >= LEAST_SHARE) & (F.col("low") > 2 * prior)).orderBy(F.desc("low"), "f").collect()
     chosen = {r.f: k for k, r in enumerate(got)}
 
     def keep(found: list[list[str]]) -> dict[str, list]:
         return {"ids": [sorted(chosen[f] for f in fs if f in chosen) for fs in found]}
 
     kept = map_rows(rows, ["features"], keep, {"ids": "array<int>"}, keep=["y"]).toArrow()
+    release(rows)
     bias, weights = logistic(kept["ids"].to_pylist(), kept["y"].to_numpy(), len(chosen))
     alone = {r.f: math.log(low / (1 - low)) for r in got if (low := min(r.low, 0.999)) >= ALONE and not r.f.endswith("*")}
     return {"table": table, "prior": bias, "lexicon": {f: weights[k] for f, k in chosen.items()}, "alone": alone}

@@ -107,3 +107,17 @@ def test_held_out_accuracy(spark):
     got = T.op1_toxicity(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"))
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() > 0.93 and held[held.toxic == 0].predicted.mean() < 0.03
+
+
+def test_digits_that_are_digits_stay():
+    words = WORDS + Counter({"covid19": 30, "b12": 30, "mp3": 40, "2024": 50, "shit": 30, "route66": 20})
+    table = T.CharModel(T.count_trigrams(words)).table()
+    assert [T.restore_token(t, table) for t in ("covid19", "b12", "mp3", "2024", "455", "route66")] == ["covid19", "b12", "mp3", "2024", "455", "route66"]
+    assert T.restore_token("1d10t", table) == "idiot" and T.restore_token("$#!7", table) == "shit" and T.restore_token("($#!7)", table) == "shit"
+
+
+def test_every_sure_feature_is_kept(spark):
+    words = [f"{chr(97 + w // 400 % 20)}k{chr(97 + w // 20 % 20)}m{chr(97 + w % 20)}z" for w in range(6000)]
+    docs = spark.createDataFrame([(k, (" ".join(words) if k % 2 else "calm river") + f" {k}") for k in range(60)], "doc_id long, text string")
+    model = T.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    assert {T.squeeze(w) for w in words} <= set(model["lexicon"]) and len(words) > 5000
