@@ -42,6 +42,8 @@ from .components import connected_components
 
 BITS, MOST, SHINGLE, SEED = 64, 4, 4, 42
 SAMPLE, BLOCK = 20_000, 512
+#: Estimates of pairs: bit flips tried on the sample, and rows of the sample compared in pairs beyond them.
+FLIPS, PAIRED = 300, 2_000
 #: Microseconds that a row dealt out by key and a compared pair take.
 ROW_COST, PAIR_COST = 4.0, 0.015
 #: Hot keys are broadcast up to this number, else joined.
@@ -100,10 +102,20 @@ def mask_of(bits) -> int:
 
 
 def sample_pairs(sample: np.ndarray, bits: list[int], most: int) -> list[float]:
-    """Pairs of the sample that differ in t bits or fewer of a partition, for t = 0 to most."""
-    values, counts = np.unique(sample & np.uint64(mask_of(bits)), return_counts=True)
+    """Pairs of the sample that differ in t bits or fewer of a partition, for t = 0 to most.
+
+    Deep thresholds, where flipping bits costs more than comparing, are estimated on all pairs of the first ``PAIRED`` rows.
+    """
+    masked = sample & np.uint64(mask_of(bits))
+    values, counts = np.unique(masked, return_counts=True)
     out = [float((counts * (counts - 1.0) / 2).sum())]
     for t in range(1, most + 1):
+        if math.comb(len(bits), t) > FLIPS:
+            some = masked[:PAIRED]
+            apart = np.bincount(np.bitwise_count(some[:, None] ^ some[None, :]).ravel(), minlength=BITS + 1)
+            apart[0] -= len(some)
+            within = np.cumsum(apart) / 2 * (len(sample) / len(some)) ** 2
+            return out + [max(out[-1], float(w)) for w in within[t : most + 1]]
         more = 0.0
         for flip in itertools.combinations(bits, t):
             other = values ^ np.uint64(mask_of(flip))
@@ -132,7 +144,7 @@ def plan(sample: np.ndarray, n: int, most: int = MOST) -> list[tuple[list[int],
     for m in range(2, most + 3):
         groups, costs = group_bits(sample, m), []
         for bits in groups:
-            deepest = 2 if len(bits) <= 24 else 1
+            deepest = min(most, len(bits))
             pairs = sample_pairs(sample, bits, deepest) if len(sample) else [0.0] * (deepest + 1)
             probes = [sum(math.comb(len(bits), j) for j in range(1, t + 1)) / 2 + 1 for t in range(deepest + 1)]
             costs.append([0.0] + [n * ROW_COST * probes[t] + pairs[t] * scale * PAIR_COST for t in range(deepest + 1)])

@@ -134,3 +134,17 @@ def test_query(spark, sf_dir):
     for i in ids:
         least[want[i]] = min(i, least.get(want[i], i))
     assert {i: r.component_id for i, r in got.items()} == {i: least[want[i]] for i in ids}
+
+
+def test_deep_thresholds_are_planned():
+    """All thresholds up to the distance are open to the plan; estimates of deep ones agree with a count of all pairs."""
+    rng = np.random.default_rng(3)
+    sample = np.unique(rng.integers(0, 1 << 64, 1500, dtype=np.uint64) & np.uint64(0x0F0F00FF00000FFF))
+    bits = list(range(0, 32))
+    got = S.sample_pairs(sample, bits, 4)
+    masked = sample & np.uint64(S.mask_of(bits))
+    apart = np.bitwise_count(masked[:, None] ^ masked[None, :])
+    want = [((apart <= t).sum() - len(sample)) / 2 for t in range(5)]
+    assert got == want and len(S.allot([[0.0, 9, 9, 9, 9, 1.0], [0.0, 9, 9, 9, 9, 9]], 5)[1]) == 2 and S.allot([[0.0, 9, 9, 9, 9, 1.0], [0.0, 9, 9, 9, 9, 9]], 5)[1] == [4, -1]
+    rows = S.plan(sample, 10**6, 4)
+    assert sum(t + 1 for _, t in rows) == 5
