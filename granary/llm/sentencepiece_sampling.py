@@ -490,5 +490,5 @@ def decode(ids: list[int], codec: Codec) -> str:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = sample_segmentations(docs, vocabulary(), ["doc_id"]).select("doc_id", F.explode("samples").alias("s"))
+    found = sample_segmentations(docs, vocabulary(), ["doc_id"], ids=True).select("doc_id", F.explode("samples").alias("s"))
     return found.select("doc_id", "s.*")
