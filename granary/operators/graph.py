@@ -163,3 +163,26 @@ def graph_gate(queries: DataFrame, walked: DataFrame, trust: DataFrame) -> DataF
     action = F.when(F.col("n") == 0, "abstain").when(F.col("trusted") == 0, "answer_low_confidence").otherwise("answer")
     score = F.when(F.col("n") == 0, 0.0).when(F.col("trusted") == 0, 0.5).otherwise(1.0)
     return out.select("query_id", "n", "trusted", action.alias("action"), score.alias("top_score"))
+
+
+GRAPH_TABLES = {"nodes": "concept_id string, entity_type string, title string, aliases array<string>", "edges": "src string, dst string, kind string, w double"}
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Both tables of the graph, replaced."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.select(*[c.split()[0] for c in GRAPH_TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_graph(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of write_graph(); a graph that is missing or can't be read is empty, so answers go on without it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = [spark.read.parquet(f"{folder}/{n}") for n in GRAPH_TABLES]  # fails here on a missing folder or a broken footer
+        return tuple(df.select(*[c.split()[0] for c in kind.split(", ")]) for df, kind in zip(found, GRAPH_TABLES.values(), strict=True))
+    except (AnalysisException, Py4JJavaError) as e:
+        if isinstance(e, Py4JJavaError) and "CANNOT_READ_FILE_FOOTER" not in str(e):
+            raise  # a lost executor or the like is no broken graph
+        return tuple(spark.createDataFrame([], kind) for kind in GRAPH_TABLES.values())

@@ -102,6 +102,59 @@ def abstain_message(language: Column, suggestions: Column, document: str) -> Col
     return F.when(language == "hi", hi).otherwise(en)
 
 
+#: Answers of two intents that need no retrieval, in English and Hindi.
+TEMPLATES = {
+    "calculation_request": (
+        "This assistant does not calculate individual entitlements -- it explains what the draft policy states. Based on the applicable rate and cap shown above, please contact your District Industries Centre (DIC) or the MSME helpline for a specific assessment of your case.",
+        "यह सहायक व्यक्तिगत पात्रता की गणना नहीं करता -- यह केवल प्रारूप नीति में जो लिखा है वह बताता है। ऊपर दी गई लागू दर और सीमा के आधार पर, अपने विशेष मामले के आकलन के लिए कृपया अपने ज़िला उद्योग केंद्र (DIC) या एमएसएमई हेल्पलाइन से संपर्क करें।",
+    ),
+    "grievance": (
+        "This policy establishes a dedicated helpline and this chatbot as an entry point for MSME grievances (section 7.1). Please describe your issue and it will be logged; for urgent matters, contact your District Industries Centre (DIC) directly.",
+        "यह नीति एमएसएमई शिकायतों के लिए एक समर्पित हेल्पलाइन और यह चैटबॉट प्रवेश बिंदु के रूप में स्थापित करती है (धारा 7.1)। कृपया अपनी समस्या बताएं, इसे दर्ज किया जाएगा; तत्काल मामलों के लिए, सीधे अपने ज़िला उद्योग केंद्र (DIC) से संपर्क करें।",
+    ),
+}
+
+
+def template_answer(intent: Column, language: Column) -> Column:
+    """The fixed answer of an intent in Hindi for Hindi, else in English; null for other intents."""
+    by_intent = [F.when(intent == k, F.when(language == "hi", hi).otherwise(en)) for k, (en, hi) in TEMPLATES.items()]
+    return F.coalesce(*by_intent)
+
+
+def attach_findings(nodes: DataFrame, findings: DataFrame) -> DataFrame:
+    """Nodes with their sorted finding ids: a finding names a node by its title (in any case), else by its domain id.
+
+    nodes: concept_id, title, domain_id; findings: finding_id, names. A title that several nodes have
+    belongs to the first of them by concept_id.
+    """
+    first = lambda key: nodes.filter(key.isNotNull()).groupBy(key.alias("name")).agg(F.min("concept_id").alias("concept_id"))
+    by_title = first(F.lower("title"))
+    by_id = first(F.lower("domain_id")).join(by_title, "name", "left_anti")
+    found = findings.withColumn("name", F.lower("names")).join(by_title.unionByName(by_id), "name")
+    lists = found.groupBy("concept_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    return nodes.join(lists, "concept_id", "left").withColumn("finding_ids", F.coalesce("finding_ids", F.array().cast("array<string>")))
+
+
+def evidence(entries: DataFrame, walked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rollup of a walk: distinct chunk, ambiguity and finding ids in the order of the nodes, and entries that are no node.
+
+    entries: query_id, concept_id; walked: query_id, concept_id, position; nodes: concept_id, entity_type,
+    domain_id, chunk_ids, finding_ids (arrays of strings). One row for each query of ``entries``.
+    """
+    told = walked.select("query_id", "concept_id", "position").join(nodes, "concept_id")
+    parts = F.concat(
+        F.transform("chunk_ids", lambda c: F.struct(F.lit("chunk").alias("kind"), c.alias("id"))),
+        F.when(F.col("entity_type") == "ambiguity_flag", F.array(F.struct(F.lit("ambiguity").alias("kind"), F.col("domain_id").alias("id")))).otherwise(F.array().cast("array<struct<kind:string,id:string>>")),
+        F.transform("finding_ids", lambda c: F.struct(F.lit("finding").alias("kind"), c.alias("id"))),
+    )
+    rows = told.select("query_id", "position", F.posexplode(parts).alias("at", "p")).select("query_id", "position", "at", "p.kind", "p.id")
+    missing = entries.join(nodes.select("concept_id"), "concept_id", "left_anti").select("query_id", F.lit(0).alias("position"), F.lit(0).alias("at"), F.lit("missing").alias("kind"), F.col("concept_id").alias("id"))
+    firsts = rows.unionByName(missing).groupBy("query_id", "kind", "id").agg(F.min(F.struct("position", "at")).alias("o"))
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("o", "id")))), lambda x: x.id), ",")
+    rolled = firsts.groupBy("query_id").agg(*[listed(k).alias(f"{k}_ids") for k in ("chunk", "ambiguity", "finding", "missing")])
+    return entries.select("query_id").distinct().join(rolled, "query_id", "left").na.fill("")
+
+
 def graph_answer(walked: DataFrame, answer_types: tuple[str, ...] = ("incentive", "eligibility_rule", "ambiguity_flag"), most: int = 5, fallback: int = 4) -> DataFrame:
     """Lines of a graph answer: the first answer-bearing nodes with a summary, else the first with any summary.
 

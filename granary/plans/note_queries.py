@@ -22,7 +22,6 @@ REFERENCES = values(
     "ref_id, reference, base",
     [(0, "[[CG]]", None), (1, "/schemes/a.md#part", "x/y"), (2, "../incentives/i1.md", "rules/r"), (3, "./r.md", "rules/q"), (4, "https://e.org/a", None), (5, "I1", ""), (6, "nowhere", None), (7, "[[R|the rule]]", None), (8, "", None), (9, None, None), (10, "../../terms/cg", "a/b/c/d")],
 )
-RESOLVED = [(0, "CG", "schemes/a"), (1, "schemes/a", "schemes/a"), (2, "incentives/i1", "incentives/i1"), (3, "rules/r", "rules/r"), (4, None, None), (5, "I1", "incentives/i1"), (6, "nowhere", None), (7, "R", "rules/r"), (8, None, None), (9, None, None), (10, "a/terms/cg", None)]
 BODIES = values("bodies", "path, body", [("n/1.md", "see [[CG]] and [[R|the rule]], not [[lost]]."), ("n/2.md", "plain"), ("m/3.md", "[[I1]][[I1|x]]"), ("m/4.md", "")])
 REGISTER = values("register", "id, local_id, en, hi, severity", [("B-AMB-1", "AMB-1", "Rate unclear.", "दर अस्पष्ट।", "blocking"), ("B-AMB-2", "AMB-2", "See office.", "कार्यालय देखें।", "advisory")])
 NEEDED = values("needed", "query_id, flag, language, pos", [(0, "AMB-1", "en", 1), (0, "B-AMB-1", "en", 2), (0, "B-AMB-2", "en", 3), (1, "AMB-2", "hi", 1), (2, "AMB-9", "en", 1)])
@@ -71,6 +70,16 @@ def sources(s, d):
     return o.select("l_orderkey", F.array_join(F.transform(N.distinct_sources(F.col("sources")), lambda x: F.concat(x.id, x.resource)), ",").alias("sources"))
 
 
+INDEX_SQL = f"""c AS ({CONCEPTS}), ranked AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY coalesce(list_position([{", ".join(f"'{x}'" for x in N.PREFERENCE)}], entity_type), 99), concept_id) AS r FROM c WHERE domain_id IS NOT NULL),
+  idx AS (SELECT concept_id AS token, concept_id FROM c UNION ALL SELECT domain_id, concept_id FROM ranked WHERE r = 1 AND domain_id NOT IN (SELECT concept_id FROM c))"""
+
+
+def token_sql(c: str) -> str:
+    """A reference without brackets, label, fragment, leading slash and suffix; NULL for external ones."""
+    bare = f"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({c}, '^\\[\\[([^\\]|]*)(\\|[^\\]]*)?\\]\\]$', '\\1')), '#.*$', ''), '^/+', ''), '\\.md$', '')"
+    return f"CASE WHEN regexp_matches({c}, '://|^mailto:') THEN NULL ELSE nullif({bare}, '') END"
+
+
 QUERIES = {
     "concept_resolve": resolve,
     "link_rewrite": rewrite,
@@ -84,8 +93,14 @@ QUERIES = {
     "empty_after_heading": lambda s, d: frame(s, PAGE_TEXTS, "page int, text string").select("page", N.empty_after_heading(F.col("text"), "ANNEX A").alias("empty")),
 }
 SQL = {
-    "concept_resolve": values("t", "ref_id, token, concept_id", RESOLVED).replace("SELECT *", "SELECT CAST(ref_id AS BIGINT) AS ref_id, token, concept_id"),
-    "link_rewrite": values("t", "path, body", [("n/1.md", "see [CG](/schemes/a.md) and [the rule](/rules/r.md), not [[lost]]."), ("n/2.md", "plain"), ("m/3.md", "[I1](/incentives/i1.md)[x](/incentives/i1.md)"), ("m/4.md", "")]),
+    "concept_resolve": f"""WITH {INDEX_SQL}, n AS (SELECT ref_id, reference, base, {token_sql('reference')} AS t FROM ({REFERENCES})),
+      r AS (SELECT ref_id, CASE WHEN t LIKE '.%' THEN list_reduce(list_prepend(regexp_replace(coalesce(base, ''), '(^|/)[^/]*$', ''), list_filter(string_split(t, '/'), lambda x: x NOT IN ('', '.'))),
+        lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '(^|/)[^/]*$', '') WHEN acc = '' THEN x ELSE acc || '/' || x END) ELSE t END AS token FROM n)
+      SELECT CAST(ref_id AS BIGINT) AS ref_id, token, concept_id FROM r LEFT JOIN idx USING (token)""",
+    "link_rewrite": f"""WITH {INDEX_SQL}, parts AS (SELECT path, unnest(string_split_regex(body, '\\[\\[[^\\]]+\\]\\]')) AS text, unnest(list_append(regexp_extract_all(body, '\\[\\[[^\\]]+\\]\\]'), '')) AS link, unnest(range(len(regexp_extract_all(body, '\\[\\[[^\\]]+\\]\\]')) + 1)) AS pos FROM ({BODIES})),
+      named AS (SELECT *, CASE WHEN link <> '' THEN {token_sql('link')} END AS token, nullif(trim(regexp_extract(link, '\\|([^\\]]*)\\]\\]$', 1)), '') AS label FROM parts),
+      said AS (SELECT path, pos, text || CASE WHEN concept_id IS NOT NULL THEN '[' || coalesce(label, token) || '](/' || concept_id || '.md)' ELSE link END AS out FROM named LEFT JOIN idx USING (token))
+      SELECT path, string_agg(out, '' ORDER BY pos) AS body FROM said GROUP BY path""",
     "directory_index": "SELECT lower(r_name) AS folder, string_agg('- [' || n_name || '](/' || lower(r_name) || '/' || lower(n_name) || '.md)', chr(10) ORDER BY n_name) AS listing, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "disclosure_lookup": f"""WITH i AS (SELECT id AS flag, id, en, hi, severity FROM ({REGISTER}) UNION ALL SELECT local_id, id, en, hi, severity FROM ({REGISTER})), f AS (SELECT CAST(query_id AS BIGINT) AS query_id, id, min(pos) AS pos, min(CASE WHEN language = 'hi' THEN hi ELSE en END) AS text, max(severity = 'blocking') AS b FROM ({NEEDED}) JOIN i USING (flag) GROUP BY ALL)
       SELECT query_id, string_agg(text, chr(10) ORDER BY pos) AS disclosures, bool_or(b) AS blocking FROM f GROUP BY query_id""",

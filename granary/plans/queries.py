@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_queries, note_queries, record_queries, retrieval_queries
+from . import graph_queries, note_queries, record_queries, render_queries, retrieval_queries
 
 
 def longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,13 @@ def longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
-MODULES = [retrieval_queries, graph_queries, record_queries, note_queries]
+MODULES = [retrieval_queries, graph_queries, record_queries, note_queries, render_queries]
 QUERIES = {k: longs(f) for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
+
+# Searches are registered over the stated query set alone (every id divisible by 50, against all rows), the flagship by its plain name as well.
+STATED = [k.removesuffix("_every50") for k in QUERIES if k.endswith("_every50")]
+for known in (QUERIES, SQL):
+    for k in STATED:
+        known.pop(k)
+    known["hybrid_rrf_top12"] = known["hybrid_rrf_top12_every50"]

@@ -69,3 +69,10 @@ def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verba
 
     kind = rows.schema["query_id"].dataType.simpleString()
     return rows.select("query_id", "question", "sources").mapInPandas(run, f"query_id {kind}, {out} string")
+
+
+def transliterate(text):
+    """Optional transliteration of a question to Devanagari: a Column function that answers null, so the variant is left out; pass another where one is at hand."""
+    from pyspark.sql import functions as F
+
+    return F.nullif(text, text)

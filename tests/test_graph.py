@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import graph as G
 
@@ -82,3 +83,21 @@ def test_aliases_of_any_length_are_found(spark):
     got = G.entry_points(q, G.alias_table(nodes)).orderBy("query_id", "pos").collect()
     assert [(x.query_id, x.concept_id) for x in got] == [(0, "a"), (0, "b"), (1, "b")]
     assert G.entry_points(q, G.alias_table(nodes.limit(0))).count() == 0
+
+
+def test_a_missing_or_broken_graph_is_empty(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "act", "A", ["x"], 1)], "concept_id string, entity_type string, title string, aliases array<string>, extra int")
+    edges = spark.createDataFrame([("a", "b", "in_scheme", 0.4)], "src string, dst string, kind string, w double")
+    G.write_graph(nodes, edges, str(tmp_path / "g"))
+    got = G.read_graph(spark, str(tmp_path / "g"))
+    assert [df.count() for df in got] == [1, 1] and got[0].columns == ["concept_id", "entity_type", "title", "aliases"]
+    (tmp_path / "bad" / "nodes").mkdir(parents=True)
+    (tmp_path / "bad" / "nodes" / "x.parquet").write_text("no parquet")
+    for folder in ("none", "bad"):
+        assert [df.count() for df in G.read_graph(spark, str(tmp_path / folder))] == [0, 0]
+
+
+def test_transliteration_is_optional(spark):
+    from granary.providers import transliterate
+
+    assert spark.createDataFrame([("namaste",), (None,)], "t string").select(transliterate(F.col("t"))).collect() == [(None,), (None,)]

@@ -79,3 +79,23 @@ def test_member_names(spark):
     df = spark.createDataFrame([(" patna ",), ("Old Patna",), ("Gaya",), (None,)], "n string")
     got = [r[0] for r in df.select(C.normalize_member(F.col("n"), {"Patna": ["old patna"]})).collect()]
     assert got == ["Patna", "Patna", "Gaya", None]
+
+
+def test_sources_come_from_the_registry_and_from_parts():
+    registry = {"S": ("Title of S", "https://s"), "T": ("T", "https://t")}
+    flag = vault.to_front_matter("ambiguity_flag", {"id": "A", "source_ids": ["S", "unknown", "S"]}, registry=registry)
+    assert flag["sources"] == [{"id": "S", "resource": "https://s", "title": "Title of S"}] and vault.to_payload(flag)[1]["source_ids"] == ["S", "unknown", "S"]
+    act = {"act_id": "X", "sections": [{"source": {"source_id": "T", "source_url": "", "verification_status": "disputed"}}, {"source": {"source_id": "T", "source_url": None, "page_start": 2}}, {}]}
+    front = vault.to_front_matter("act", act, registry=registry)
+    assert [(e["id"], e["resource"]) for e in front["sources"]] == [("T", "https://t")] and front["status"] == "draft"
+    assert vault.to_payload(front) == ("act", act)
+    district = {"district_id": "D", "source": {"source_id": "S", "source_url": "https://own"}}
+    front = vault.to_front_matter("district", district, registry=registry)
+    assert front["sources"] == [{"id": "S", "resource": "https://own", "title": "Title of S"}] and vault.to_payload(front) == ("district", district)
+
+
+def test_records_and_notes_as_frames(spark):
+    given = [(e, json.dumps(r, ensure_ascii=False)) for e, r in RECORDS.items()]
+    back = vault.records_of(vault.notes_of(spark.createDataFrame(given, "entity string, record string"), "test")).collect()
+    assert {r.entity: json.loads(r.record) for r in back} == RECORDS
+    assert vault.notes_of(spark.createDataFrame([], "entity string, record string")).count() == 0
