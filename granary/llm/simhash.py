@@ -50,7 +50,7 @@ ROW_COST, PAIR_COST = 4.0, 0.015
 MOST_HOT = 20_000
 
 
-def fingerprint(b: bytes) -> int:
+def fingerprint(b: bytes, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint of a text in UTF-8."""
     words = b.lower().split()
     if not words:
@@ -58,7 +58,7 @@ def fingerprint(b: bytes) -> int:
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     total, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), 1 << 16):
