@@ -3,9 +3,11 @@ from __future__ import annotations
 import pandas as pd
 
 import corpus_pipeline as P
-from granary.llm import decontaminate, pii, simhash
+from granary.llm import decontaminate, pii
 from granary.llm.common import read_table
 
+from .test_pipeline_stages import least_of_groups
+
 
 def test_stages(spark, sf_dir, tmp_path):
     docs = read_table(spark, sf_dir, "documents")
@@ -20,18 +22,8 @@ def test_stages(spark, sf_dir, tmp_path):
         frames.append(docs.toPandas())
     every, good, single, clean, private, coded = frames
     assert 0 < len(good) < len(every)
-    # near duplicates: exactly one of each group of linked fingerprints, the one with the smallest id
-    fp = {i: simhash.fingerprint(t.encode()) for i, t in zip(good.doc_id, good.text, strict=True)}
-    group = {i: i for i in fp}
-    changed = True
-    while changed:
-        changed = False
-        for a in fp:
-            for b in fp:
-                if (fp[a] ^ fp[b]).bit_count() <= 4 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
-    assert set(single.doc_id) == set(group.values())
+    # near duplicates: exactly one of each group of near copies, the one with the smallest id
+    assert set(single.doc_id) == least_of_groups(dict(zip(good.doc_id, good.text, strict=True)))
     block = decontaminate.Items(items.item_id.tolist(), items.text.tolist())
     leaks = dict(zip(single.doc_id, decontaminate.matches(block, single.text.tolist()), strict=True))
     assert set(clean.doc_id) == {i for i in leaks if not leaks[i]}
