@@ -1,9 +1,8 @@
-"""The answer ladder for a batch of requests (query, mode).
+"""Tiers of a batch of requests (query, mode) from evidence that is already at hand, memo keys and source lists.
 
-Cheap tiers go first: rows that a tier answers are filtered out before the next, dearer one is
-planned, and the parts are united at the end. The gate is computed from vector evidence alone, from
-a frame that never joins the graph, so graph rows can add sources but never turn an abstention of
-plain retrieval around.
+``tiers`` only names the tier; ``answers.answer`` runs the cascade and writes the answers. The gate is
+computed from vector evidence alone, from a frame that never joins the graph, so graph rows can add
+sources but never turn an abstention of plain retrieval around.
 """
 
 from __future__ import annotations

@@ -58,6 +58,13 @@ def sparse_topk(doc_postings: DataFrame, query_postings: DataFrame, k: int = SPA
     return topk(scored, k)
 
 
+def sparse_search(texts: DataFrame, questions: DataFrame, k: int = SPARSE_TOP) -> DataFrame:
+    """sparse_topk over texts (doc_id, text) and questions (query_id, text); only tokens that a question has are counted and shuffled."""
+    asked = postings(questions, "query_id")
+    tokens = texts.select("doc_id", F.explode(alnum_words(F.col("text"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    return sparse_topk(tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf")), asked, k)
+
+
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, top: int = SHORTLIST) -> DataFrame:
     """Reciprocal rank fusion of two lists: a full outer join in which a missing side adds nothing."""
     part = lambda c: F.coalesce(F.lit(1.0) / (F.col(c) + RRF_K), F.lit(0.0))

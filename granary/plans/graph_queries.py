@@ -58,13 +58,15 @@ EDGES_SQL = """edges AS (SELECT DISTINCT src, dst, kind, CASE kind WHEN 'in_sche
   UNION ALL SELECT 'customer/' || c_custkey, 'supplier/' || (c_custkey % 100), 'flagged_by' FROM customer) WHERE src <> dst)"""
 
 
-def walk_sql(max_hops: int = 2, fan_out: int = 8, hub_fan_out: int = 6, max_nodes: int = 24) -> str:
+def walk_sql(max_hops: int = 2, fan_out: int = 8, hub_fan_out: int = 6, max_nodes: int = 24, given: tuple[str, ...] | None = None, priority: tuple[str, ...] = PRIORITY) -> str:
+    """CTEs of a walk, the last one ``walked``; ``given`` are CTEs nodes, edges and entries to take instead of those of this module."""
     rows = ", ".join(f"({q}, '{c}', {p})" for q, c, p in ENTRIES)
+    given = given or (NODES_SQL, EDGES_SQL, f"entries AS (SELECT * FROM (VALUES {rows}) AS e(query_id, concept_id, pos))")
+    rank = " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(priority))
     out = [
-        NODES_SQL,
-        EDGES_SQL,
-        "steps AS (SELECT b.*, n.entity_type AS to_type, CASE n.entity_type WHEN 'incentive' THEN 0 WHEN 'eligibility_rule' THEN 1 WHEN 'sector' THEN 2 ELSE 3 END AS pr FROM (SELECT src, dst, kind, w FROM edges UNION ALL SELECT dst, src, kind || '~', w * 0.6e0 FROM edges) b JOIN nodes n ON n.concept_id = b.dst)",
-        f"l0 AS (SELECT e.query_id, e.pos AS ord, e.concept_id, n.entity_type, 1e0 AS score, 0 AS hop, CAST(NULL AS VARCHAR) AS via FROM (VALUES {rows}) AS e(query_id, concept_id, pos) JOIN nodes n USING (concept_id))",
+        *given,
+        f"steps AS (SELECT b.*, n.entity_type AS to_type, CASE n.entity_type {rank} ELSE 99 END AS pr FROM (SELECT src, dst, kind, w FROM edges UNION ALL SELECT dst, src, kind || '~', w * 0.6e0 FROM edges) b JOIN nodes n ON n.concept_id = b.dst)",
+        "l0 AS (SELECT e.query_id, e.pos AS ord, e.concept_id, n.entity_type, 1e0 AS score, 0 AS hop, CAST(NULL AS VARCHAR) AS via FROM entries e JOIN nodes n USING (concept_id))",
         "k0 AS (SELECT query_id, concept_id, score FROM l0 WHERE FALSE)",
     ]
     for h in range(max_hops + 1):
