@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..sources import snapshot
 
 
 def dangling(refs: DataFrame, known: DataFrame, on: str) -> DataFrame:
@@ -96,12 +97,15 @@ def stale_generated(existing: DataFrame, about_to_write: DataFrame, generated_by
 
 
 def write_if_clean(frames: dict[str, DataFrame], errors: list[DataFrame], folder: str) -> int:
-    """Write each frame below ``folder`` unless an error frame has a row; returns the number of errors (at most one per frame is counted when empty is all that matters)."""
-    bad = sum(e.count() for e in errors)
-    if not bad:
-        for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return bad
+    """Publish all frames as one version below ``folder`` unless an error frame has a row; returns how many error frames have any.
+
+    Each error frame is asked for one row; a write that fails midway leaves the earlier version (``sources/snapshot.py``).
+    """
+    try:
+        snapshot.write(frames, folder, {str(k): e for k, e in enumerate(errors)})
+    except snapshot.Rejected as e:
+        return len(e.names)
+    return 0
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

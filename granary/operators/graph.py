@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum
+from ..sources import snapshot
 
 # --- fixed values -----------------------------------------------------------------------------
 EDGE_WEIGHTS = {
@@ -165,24 +166,24 @@ def graph_gate(queries: DataFrame, walked: DataFrame, trust: DataFrame) -> DataF
     return out.select("query_id", "n", "trusted", action.alias("action"), score.alias("top_score"))
 
 
-GRAPH_TABLES = {"nodes": "concept_id string, entity_type string, title string, aliases array<string>", "edges": "src string, dst string, kind string, w double"}
+NODE_COLUMNS = "concept_id string, entity_type string, title string, aliases array<string>, domain_id string, trust string, status string, summary string, chunk_ids array<string>, finding_ids array<string>"
+EDGE_COLUMNS = "src string, dst string, kind string, w double"
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Both tables of the graph, replaced."""
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.select(*[c.split()[0] for c in GRAPH_TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/{name}")
+def shaped(df: DataFrame, columns: str) -> DataFrame:
+    """The declared columns; those that df lacks are null."""
+    pairs = [c.split(" ", 1) for c in columns.split(", ")]
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in pairs])
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> snapshot.Manifest:
+    """Publish nodes and edges as one version of the graph; readers see both tables of a version or the one before."""
+    return snapshot.write({"nodes": shaped(nodes, NODE_COLUMNS), "edges": shaped(edges, EDGE_COLUMNS)}, folder)
 
 
 def read_graph(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of write_graph(); a graph that is missing or can't be read is empty, so answers go on without it."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = [spark.read.parquet(f"{folder}/{n}") for n in GRAPH_TABLES]  # fails here on a missing folder or a broken footer
-        return tuple(df.select(*[c.split()[0] for c in kind.split(", ")]) for df, kind in zip(found, GRAPH_TABLES.values(), strict=True))
-    except (AnalysisException, Py4JJavaError) as e:
-        if isinstance(e, Py4JJavaError) and "CANNOT_READ_FILE_FOOTER" not in str(e):
-            raise  # a lost executor or the like is no broken graph
-        return tuple(spark.createDataFrame([], kind) for kind in GRAPH_TABLES.values())
+    """(nodes, edges) of the last version; a graph that isn't published or has lost files is empty, so answers go on without it."""
+    if all(snapshot.complete(spark, folder, n) for n in ("nodes", "edges")):
+        found = snapshot.read(spark, folder)
+        return found["nodes"], found["edges"]
+    return spark.createDataFrame([], NODE_COLUMNS), spark.createDataFrame([], EDGE_COLUMNS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,9 +91,12 @@ def test_a_missing_or_broken_graph_is_empty(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "in_scheme", 0.4)], "src string, dst string, kind string, w double")
     G.write_graph(nodes, edges, str(tmp_path / "g"))
     got = G.read_graph(spark, str(tmp_path / "g"))
-    assert [df.count() for df in got] == [1, 1] and got[0].columns == ["concept_id", "entity_type", "title", "aliases"]
-    (tmp_path / "bad" / "nodes").mkdir(parents=True)
-    (tmp_path / "bad" / "nodes" / "x.parquet").write_text("no parquet")
+    assert [df.count() for df in got] == [1, 1] and got[0].columns == [c.split(" ")[0] for c in G.NODE_COLUMNS.split(", ")]
+    G.write_graph(nodes.withColumns({"trust": F.lit("unverified"), "chunk_ids": F.array(F.lit("c1"), F.lit("c2"))}), edges, str(tmp_path / "g"))
+    row = G.read_graph(spark, str(tmp_path / "g"))[0].first()
+    assert (row.trust, row.chunk_ids, row.summary) == ("unverified", ["c1", "c2"], None)
+    G.write_graph(nodes, edges, str(tmp_path / "bad"))
+    shutil.rmtree(next((tmp_path / "bad" / "data").glob("edges-*")))
     for folder in ("none", "bad"):
         assert [df.count() for df in G.read_graph(spark, str(tmp_path / folder))] == [0, 0]
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from granary.operators import compilation as C
-from granary.sources import records, vault
+from granary.sources import records, vault, snapshot
 
 RECORDS = {
     "incentive": {"incentive_id": "I1", "name": "Capital help", "status": "rate_unstated", "category_rates": [{"enterprise_category": "micro", "rate_text": "5%"}], "source": {"source_id": "S", "source_url": "https://x", "page_start": None, "verification_status": "disputed"}, "odd_key": {"a": [1, None]}},
@@ -70,7 +70,9 @@ def test_compile_writes_nothing_while_there_are_errors(spark, tmp_path):
     assert C.write_if_clean({"t": ok}, [bad], str(tmp_path / "out")) == 1
     assert not (tmp_path / "out").exists()
     assert C.write_if_clean({"t": ok}, [bad.filter("id < 0")], str(tmp_path / "out")) == 0
-    assert spark.read.parquet(str(tmp_path / "out" / "t")).count() == 3
+    assert snapshot.read(spark, str(tmp_path / "out"))["t"].count() == 3
+    assert C.write_if_clean({"t": spark.range(9)}, [bad, bad.filter("id < 0")], str(tmp_path / "out")) == 1
+    assert snapshot.read(spark, str(tmp_path / "out"))["t"].count() == 3
 
 
 def test_member_names(spark):
