@@ -7,6 +7,8 @@ Top-k uses row_number() <= k, which Spark plans as a group limit before the shuf
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from ..functions.text import alnum_words, sigmoid
 
 RRF_K, DENSE_TOP, SPARSE_TOP, SHORTLIST, CONTEXT = 60, 30, 30, 12, 6
 DOMINANCE = 0.15
-MOST_QUERIES = 10_000
+MOST_QUERIES, QUERY_CHUNK = 10_000, 256
 DEFAULT_THRESHOLDS = (0.15, 0.35)
 
 
@@ -25,27 +27,77 @@ def topk(scored: DataFrame, k: int, by: str = "score", key: str = "doc_id", rank
     return scored.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by the smaller id; ``ids`` ascend."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, -k)[-k]
+    above = np.flatnonzero(scores > least)
+    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+
+
+def usable(e: Column, size: int) -> Column:
+    finite = F.forall(e, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return (F.size(e) == size) & finite & F.exists(e, lambda x: x != 0)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = DENSE_TOP, keep: Column | None = None) -> DataFrame:
-    """Exact cosine top-k. vectors: doc_id, embedding; queries: query_id, embedding; ``keep`` filters before scoring.
+    """Exact cosine top-k, scores rounded to six places, ties by doc_id. vectors: doc_id, embedding; queries: query_id, embedding; ``keep`` filters before scoring.
 
-    Queries are broadcast in blocks of at most about MOST_QUERIES rows, each block against all vectors.
+    Queries are unit vectors in blocks of at most about MOST_QUERIES; a block is multiplied with Arrow
+    batches of vectors, and a task keeps k rows a query while it reads, so it sends k rows a query whatever it
+    holds. A vector that is null, zero, not finite or of another length than the queries has no score.
     """
-    v = vectors if keep is None else vectors.filter(keep)
-    q = queries.select("query_id", F.col("embedding").alias("__q"))
-    blocks = -(-max(1, q.count()) // MOST_QUERIES)
+    v = (vectors if keep is None else vectors.filter(keep)).select("doc_id", "embedding")
+    q = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
+    sizes = q.agg(F.count("*").alias("n"), F.mode(F.size("embedding")).alias("size")).first()
+    size, blocks = sizes["size"] or 0, -(-max(1, sizes["n"]) // MOST_QUERIES)
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {v.schema['doc_id'].dataType.simpleString()}, score double"
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = v.join(F.broadcast(part), F.lit(True)).select("query_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("__q")), 6).alias("score"))
-        out = topk(scored, k) if out is None else out.unionByName(topk(scored, k))
+        asked = part.filter(usable(F.col("embedding"), size)).toArrow()
+        scored = v.filter(usable(F.col("embedding"), size)).mapInArrow(block_products(asked, max(1, size), k), schema)
+        found = topk(scored, k).select("query_id", "doc_id", "score", "rank")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def unit_rows(column, size: int) -> np.ndarray:
+    """Rows of an Arrow column of lists as unit vectors."""
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    m /= np.abs(m).max(1, keepdims=True, initial=1e-300)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def block_products(asked: pa.Table, size: int, k: int):
+    """Function of Arrow batches (doc_id, embedding) -> the k best rows of a task for each query."""
+
+    def run(batches):
+        table = asked.combine_chunks()
+        ids = table.column("query_id")
+        q = np.concatenate([unit_rows(c, size) for c in table.column("embedding").chunks] or [np.zeros((0, size))])
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        for b in batches:
+            docs = b.column("doc_id").to_numpy(zero_copy_only=False)
+            order = np.argsort(docs, kind="stable")
+            docs, v = docs[order], unit_rows(b.column("embedding"), size)[order]
+            for at in range(0, len(q), QUERY_CHUNK):
+                products = np.round(q[at : at + QUERY_CHUNK] @ v.T, 6)
+                for j, row in enumerate(products, at):
+                    best = best_of_rows(row, docs, k)
+                    known, scores = held[j]
+                    known, scores = np.concatenate([known, docs[best]]), np.concatenate([scores, row[best]])
+                    order = np.argsort(known, kind="stable")
+                    best = best_of_rows(scores[order], known[order], k)
+                    held[j] = known[order][best], scores[order][best]
+        n = [len(d) for d, _ in held]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(q)), n))).combine_chunks(), pa.array(np.concatenate([d for d, _ in held])), pa.array(np.concatenate([s for _, s in held]))], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token, tf); token counts are summed before the shuffle."""
     return texts.select(key, F.explode(alnum_words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))

@@ -15,7 +15,9 @@ from ..operators import answers as A
 from ..operators import compilation as C
 from ..operators import facts as FA
 from ..operators import graph as G
+from ..operators import index as IX
 from ..operators import retrieval as R
+from ..sources import snapshot
 from . import graph_queries as GQ
 from . import record_queries as RQ
 from .retrieval_queries import TOKENS, table
@@ -113,7 +115,14 @@ def ladder_answers(s, d) -> DataFrame:
     return A.answer(requests(s, d), knowledge(s, d)).drop("request_id")
 
 
-QUERIES = {"ladder_answers": ladder_answers}
+def index_search(s, d) -> DataFrame:
+    """The questions against the persistent index of all documents."""
+    folder = snapshot.scratch(s)
+    IX.build(table(s, d, "documents").select("doc_id", "text"), folder)
+    return IX.search(s, folder, R.postings(questions(s, d), "query_id"))[0]
+
+
+QUERIES = {"ladder_answers": ladder_answers, "index_search_top30": index_search}
 
 # --- SQL
 
@@ -166,6 +175,9 @@ TAGS = lambda x: f"array_to_string(list_transform({x}, lambda s, i: 'S' || i ||
 FIXED = "CASE intent " + " ".join(f"WHEN {q(k)} THEN CASE WHEN lang = 'hi' THEN {q(hi)} ELSE {q(en)} END" for k, (en, hi) in A.N.TEMPLATES.items()) + f" WHEN 'greeting' THEN CASE WHEN lang = 'hi' THEN {q(f'नमस्ते! {DOCUMENT} के बारे में पूछें।')} ELSE {q(f'Hello! Ask a question about {DOCUMENT}.')} END END"
 STRUCT = "STRUCT(id VARCHAR, path VARCHAR, page INTEGER, text VARCHAR, origin VARCHAR)[]"
 SQL = {
+    "index_search_top30": f"""WITH {ASKED} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT k.query_id, p.doc_id, CAST(sum(p.tf * k.tf) AS DOUBLE) AS score FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS t FROM documents) GROUP BY ALL) p
+    JOIN (SELECT query_id, t, count(*) AS tf FROM (SELECT query_id, unnest({TOKENS}) AS t FROM q) GROUP BY ALL) k USING (t) GROUP BY ALL)) WHERE rank <= 30""",
     "ladder_answers": f"""WITH {ASKED}, {RQ.NAMED}, {RECORDS_SQL},
   words AS (SELECT name_id, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z]+'), lambda w: w NOT IN ({RQ.STOP}))) AS ws FROM named),
   m AS (SELECT query_id, count(*) AS n, any_value(name_id) AS name_id FROM q JOIN words w ON len(ws) > 0 AND len(list_filter(ws, lambda x: NOT list_contains(regexp_extract_all(lower(q.text), '[a-z]+'), x))) = 0 GROUP BY query_id),

@@ -34,9 +34,8 @@ def in_english(s, d) -> DataFrame:
 
 
 def sparse(s, d, items=None, n: int | None = 5) -> DataFrame:
-    docs = R.postings(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     q = items if items is not None else table(s, d, "benchmark").filter(asked("item_id", n)).select(F.col("item_id").alias("query_id"), "text")
-    return R.sparse_topk(docs, R.postings(q, "query_id"))
+    return R.sparse_search(table(s, d, "documents").select("doc_id", "text"), q)
 
 
 def hybrid(s, d, n: int | None = 5) -> DataFrame:
