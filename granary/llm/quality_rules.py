@@ -4,9 +4,16 @@ Each document gets counts (words, symbols, repeated lines, repeated words). Fixe
 the plainly unusable. For all others, limits are learnt from the corpus itself: one mergeable
 quantile sketch (KLL) per measure, language and source. Groups of fewer than ``least_rows`` rows take
 the sketch merged over their language, and languages of too few rows the one merged over all. A limit
-lies beyond the sketch's quantile ``TAIL`` by ``fence`` times that quantile's distance from the median;
-word length is limited on the low side likewise. Shares limit a count of events: of e expected at the limit,
-a document may hold e + ``NOISE`` * sqrt(e) + ``NOISE``, so a few events in a group without any prove nothing.
+lies beyond the sketch's quantile ``TAIL`` by ``FENCE`` times that quantile's distance from the median;
+word length is limited on the low side likewise.
+
+Of a share most documents may have none, so that its quantile is 0. Then the documents that have any decide, by
+a sketch of their own: of the ordered list of the group's resolution and their quantiles above it, the limit is in the middle (by
+ratio) of the widest gap, if neighbours there differ by ``GAP`` times or more; that is where ordinary documents end and odd ones
+begin. Without such a gap they are one population, and the limit lies beyond its upper quantiles by ratios. The resolution
+of a share is ``EVENTS`` events in a short text of the group (quantile 1 - ``TAIL`` of the number that it is a share of): less than
+that can't be told from chance there, and no limit is lower. Verdicts compare shares with limits alone, so texts of any
+length with equal shares get equal verdicts.
 
 Cost at scale: one scan, a small written table of counts (no texts), one aggregation whose partial
 sketches are made before the shuffle, and a join of counts with limits in which the hot groups, whose
@@ -27,9 +34,11 @@ from .common import join_keyed, materialize, read_table
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Quantile whose distance from the median measures a group's spread, and standard errors of a count that prove nothing.
-TAIL, NOISE = 0.85, 3.0
-#: Shares that limit a count: (count, number that it is a share of, size of one event: a window found again makes six words).
+#: Quantile whose distance from the median measures a group's spread, how far beyond it limits lie, events that a share resolves, and the ratio that parts two populations.
+TAIL, FENCE, EVENTS, GAP = 0.85, 6.0, 3, 3.0
+#: Quantiles of the documents that have any.
+GRID = (0.02, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.98)
+#: Shares: (count, number that it is a share of, size of one event: a window found again makes six words).
 SHARES = {"symbols_per_word": ("n_symbols", "n_words", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 6)}
 MEASURES = (*SHARES, "word_length")
 
@@ -85,37 +94,60 @@ def measures() -> dict[str, Column]:
     return {m: F.col(c) / of(n) for m, (c, n, _) in SHARES.items()} | {"word_length": F.col("word_chars") / of("n_words")}
 
 
-def limits(counts: DataFrame, fence: float = 6.0, least_rows: int = 200, k: int = 1000) -> DataFrame:
+def split_limit(positive: Column, resolution: Column) -> Column:
+    """Limit from the quantiles of the documents that have any (ascending), in the widest gap or beyond them."""
+    steps = F.concat(F.array(resolution), F.filter(positive, lambda x: x > resolution))
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.struct((F.coalesce(F.get(steps, i), resolution) / F.get(steps, i - 1)).alias("ratio"), (-i).alias("first"), F.sqrt(F.coalesce(F.get(steps, i), resolution) * F.get(steps, i - 1)).alias("middle")))
+    widest = F.array_max(gaps)
+    mid, high = F.greatest(F.get(positive, F.lit(GRID.index(0.5))), resolution), F.greatest(F.get(positive, F.lit(GRID.index(0.9))), resolution)
+    return F.when(widest["ratio"] >= GAP, widest["middle"]).otherwise(high * F.pow(high / mid, F.lit(FENCE)))
+
+
+def limits(counts: DataFrame, fence: float = FENCE, least_rows: int = 200, k: int = 1000) -> DataFrame:
     """One row per language and source: ``hi_*`` of each measure, ``lo_word_length``, and ``rows_of``, the rows of the group."""
-    passed = counts.select("__lang", "__source", base_failed().alias("failed"), *[F.when(~base_failed(), c).alias(m) for m, c in measures().items()])
-    sketches = passed.groupBy("__lang", "__source").agg(F.count("*").alias("rows_of"), F.count_if(~F.col("failed")).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in MEASURES])
+    values = measures() | {f"any_{m}": F.when(F.col(c) > 0, measures()[m]) for m, (c, _, _) in SHARES.items()} | {f"size_{m}": F.greatest(F.col(n), F.lit(1)).cast("double") for m, (_, n, _) in SHARES.items()}
+    passed = counts.select("__lang", "__source", base_failed().alias("failed"), *[F.when(~base_failed(), c).alias(m) for m, c in values.items()])
+    counted = [F.count("*").alias("rows_of"), F.count_if(~F.col("failed")).alias("n"), *[F.count(f"any_{m}").alias(f"n_{m}") for m in SHARES]]
+    sketches = passed.groupBy("__lang", "__source").agg(*counted, *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in values])
     sketches = materialize(sketches, "sketches")
-    some, merged = sketches.filter("n > 0"), [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in MEASURES]
+    some = sketches.filter("n > 0")
+    merged = [F.sum("n").alias("n"), *[F.sum(f"n_{m}").alias(f"n_{m}") for m in SHARES], *[F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in values]]
+    q = lambda m, p: F.kll_sketch_get_quantile_double(m, F.lit(p))
 
     def quantiles() -> Column:
-        q = lambda m, p: F.kll_sketch_get_quantile_double(m, F.lit(p))
-        return F.struct("n", *[F.struct(q(m, 1 - TAIL).alias("low"), q(m, 0.5).alias("mid"), q(m, TAIL).alias("high")).alias(m) for m in MEASURES])
-
-    by_lang = some.groupBy("__lang").agg(F.sum("n").alias("n"), *merged).select("__lang", quantiles().alias("lang"))
-    total = some.groupBy().agg(F.sum("n").alias("n"), *merged).filter("n > 0").select(quantiles().alias("total")).scalar()
-    own = sketches.select("__lang", "__source", "rows_of", F.when(F.col("n") > 0, quantiles()).alias("own"))
-    used = F.when(F.col("own.n") >= least_rows, F.col("own")).when(F.col("lang.n") >= least_rows, F.col("lang")).otherwise(total)
-    out = own.join(by_lang, "__lang", "left").select("__lang", "__source", "rows_of", used.alias("u"))
+        ends = [F.struct(q(m, 1 - TAIL).alias("low"), q(m, 0.5).alias("mid"), q(m, TAIL).alias("high")).alias(m) for m in MEASURES]
+        return F.struct("n", *ends, *[(EVENTS * size / q(f"size_{m}", 1 - TAIL)).alias(f"res_{m}") for m, (_, _, size) in SHARES.items()])
+
+    def positives() -> Column:
+        """The quantiles of those that have any; an empty sketch has none."""
+        grid = lambda m: F.when(F.col(f"n_{m}") > 0, F.array(*[q(f"any_{m}", p) for p in GRID]))
+        return F.struct(*[F.struct(F.col(f"n_{m}").alias("n"), F.coalesce(grid(m), F.array().cast("array<double>")).alias("at")).alias(m) for m in SHARES])
+
+    both = [quantiles().alias("q"), positives().alias("p")]
+    by_lang = some.groupBy("__lang").agg(*merged).select("__lang", F.struct(*both).alias("lang"))
+    total = some.groupBy().agg(*merged).filter("n > 0").select(F.struct(*both)).scalar()
+    own = sketches.select("__lang", "__source", "rows_of", F.when(F.col("n") > 0, F.struct(*both)).alias("own"))
+    levels = own.join(by_lang, "__lang", "left").withColumn("total", total)
+    enough = lambda field, least: F.when(F.col(f"own.{field}") >= least, F.lit("own")).when(F.col(f"lang.{field}") >= least, F.lit("lang")).otherwise(F.lit("total"))
+    pick = lambda level, field: F.when(level == "own", F.col(f"own.{field}")).when(level == "lang", F.col(f"lang.{field}")).otherwise(F.col(f"total.{field}"))
+    out = levels.select("__lang", "__source", "rows_of", pick(enough("q.n", least_rows), "q").alias("u"), *[pick(enough(f"p.{m}.n", least_rows // 4), f"p.{m}.at").alias(f"any_{m}") for m in SHARES])
     at = lambda m, end: F.col(f"u.{m}.{end}") + fence * (F.col(f"u.{m}.{end}") - F.col(f"u.{m}.mid"))
-    return out.select("__lang", "__source", "rows_of", *[at(m, "high").alias(f"hi_{m}") for m in MEASURES], at("word_length", "low").alias("lo_word_length"))
+
+    def share_limit(m: str) -> Column:
+        res = F.col(f"u.res_{m}")
+        return F.greatest(res, F.when(F.col(f"u.{m}.high") > 0, at(m, "high")).otherwise(split_limit(F.col(f"any_{m}"), res)))
+
+    return out.select("__lang", "__source", "rows_of", *[share_limit(m).alias(f"hi_{m}") for m in SHARES], at("word_length", "high").alias("hi_word_length"), at("word_length", "low").alias("lo_word_length"))
 
 
 def beyond() -> list[Column]:
     """Names of the measures that are beyond their limits, else null."""
-    out = []
-    for m, (count, of, size) in SHARES.items():
-        expected = F.col(f"hi_{m}") * F.greatest(F.col(of), F.lit(1)) / size
-        out.append(F.when(F.col(count) / size > expected + NOISE * F.sqrt(expected) + NOISE, F.lit(f"high_{m}")))
-    length = measures()["word_length"]
-    return [*out, F.when(length > F.col("hi_word_length"), F.lit("high_word_length")), F.when(length < F.col("lo_word_length"), F.lit("low_word_length"))]
+    of = measures()
+    high = [F.when(of[m] > F.col(f"hi_{m}"), F.lit(f"high_{m}")) for m in MEASURES]
+    return [*high, F.when(of["word_length"] < F.col("lo_word_length"), F.lit("low_word_length"))]
 
 
-def with_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = 6.0, least_rows: int = 200) -> DataFrame:
+def with_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, least_rows: int = 200) -> DataFrame:
     """Documents without their text, with the counts, ``base_failed``, ``failed`` (measures beyond their limits) and ``kept``."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__lang": blank(lang), "__source": blank(source)})

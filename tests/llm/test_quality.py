@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import quality_classifier as Q
 from granary.llm import quality_rules as R
@@ -60,14 +61,19 @@ def test_limits_are_the_groups_quantiles(spark):
     for source, part in true.groupby("__source"):
         for m in R.MEASURES:
             ends = [part[m].quantile([max(0, p - 0.02), min(1, p + 0.02)]).tolist() for p in (0.5, R.TAIL)]  # the error of the sketch in rank
+            if ends[1][1] == 0:  # nothing to learn a quantile from: no limit below what a short text resolves
+                of = R.SHARES[m][1]
+                short = kept.filter((F.col("__source") == source) & ~R.base_failed()).agg(F.percentile(F.greatest(F.col(of), F.lit(1)), 1 - R.TAIL)).first()[0]
+                assert got[source][f"hi_{m}"] == pytest.approx(R.EVENTS * R.SHARES[m][2] / short, rel=0.05)
+                continue
             low, high = ends[1][0] + 6 * (ends[1][0] - ends[0][1]), ends[1][1] + 6 * (ends[1][1] - ends[0][0])
             assert low - 1e-9 <= got[source][f"hi_{m}"] <= high + 1e-9
     assert got["b"]["hi_symbols_per_word"] > 3 * got["a"]["hi_symbols_per_word"]
     kept.unpersist()
 
 
-def test_no_fixed_value_decides_on_documents(spark):
-    """In most groups the limit of a measure with any spread comes from the sketch, not from the allowance for noise."""
+def test_limits_on_documents(spark):
+    """No group's limit of a share is 0, limits differ between groups, good documents stay and bad ones go."""
     import os
 
     d = "/root/testdata/sf0.01"
@@ -76,12 +82,48 @@ def test_no_fixed_value_decides_on_documents(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "lang as __lang", "source as __source")
     lim = R.limits(R.add_counts(docs)).collect()
     assert len(lim) > 10 and all(r.hi_word_length > 5 > r.lo_word_length > 0 for r in lim)
+    for m in R.SHARES:
+        assert sum(r[f"hi_{m}"] <= 0 for r in lim) == 0
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = {r.doc_id: r.kept for r in R.op6_quality_rules(spark, d).filter("not base_failed").collect()}
     good, bad = ([got[i] for i in got if labels.get(i) == y] for y in (1, 0))
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def symbol_texts(share, n, words=300, seed=0):
+    """Texts whose words carry a symbol with the given probability."""
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"word{j}x{k}" + "%" * int(rng.random() < share) for j in range(words)) for k in range(n)]
+
+
+def test_rare_symbols_of_long_texts_are_no_fault(spark):
+    """Most texts have no symbol; a few are full of them, a few long ones have some: the limit parts the two."""
+    rows = symbol_texts(0, 600) + symbol_texts(0.4, 25, seed=1)
+    rows += [" ".join(f"word{j}x{k}" + "%" * int(j % 2000 == 7) for j in range(8000)) for k in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in R.with_verdicts(df).collect()}
+    assert all(got[i].kept for i in range(600)) and not any(got[600 + i].kept for i in range(25)) and all(got[625 + i].kept for i in range(10))
+
+
+def test_equal_shares_get_equal_verdicts(spark):
+    """Short and long texts of one source with the same share of symbols."""
+    rows = symbol_texts(0, 400, words=100) + symbol_texts(0, 100, words=2000)
+    odd = [" ".join(f"word{j}x{k}" + "%" * int(j % every == 0) for j in range(n)) for every in (2, 5, 50, 100) for k, n in enumerate((100, 1000, 10_000))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(rows + odd)], "doc_id long, text string, lang string, source string")
+    kept = [r.kept for r in sorted(R.with_verdicts(df).collect(), key=lambda r: r.doc_id)][500:]
+    for a in range(0, 12, 3):
+        assert len(set(kept[a : a + 3])) == 1
+    assert kept[0] is False and kept[-1] is True
+
+
+def test_one_population_of_symbols_stays(spark):
+    """Where the texts that have symbols spread without a gap, there is nothing to part."""
+    rng = np.random.default_rng(3)
+    rows = symbol_texts(0, 500) + [t for k in range(60) for t in symbol_texts(float(np.exp(rng.uniform(np.log(0.004), np.log(0.06)))), 1, seed=k)]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    assert R.with_verdicts(df).filter("not kept").count() <= 3
+
+
 def test_repeated_rows_and_a_hot_source(spark, make_docs, monkeypatch):
     from granary.llm import common
 
