@@ -4,7 +4,8 @@ The regression sees hashed character n-grams of host and path and learns from a
 table (at most ``MAX_LABELLED`` rows, a bound of the method: the training runs over the matrix of
 inner products of the labelled rows). Training is full-batch gradient descent in its dual form: the
 weights are sums of the labelled rows times one coefficient each, so each step updates one number
-per labelled row; the steps run in one aggregate() over one row. The weights are an array of
+per labelled row; the steps run in one aggregate() over one row. The built-in table is made by a rule from
+words of unwanted and of ordinary sites; prefixes, ends and paths are drawn alike for both classes, so that none of them tells anything. The weights are an array of
 ``BUCKETS`` doubles, whatever the size of the table that is judged, and scoring needs no shuffle.
 
 A null URL, or one without "://", has an empty host and path; no rule fits it and the regression
@@ -14,13 +15,15 @@ columns are kept, and those named like a new column are replaced.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
 
-BUCKETS, GRAMS, MAX_LABELLED = 4096, (3, 4, 5), 500
-STEPS, RATE, DECAY = 200, 2.0, 1e-3
+BUCKETS, GRAMS, MAX_LABELLED, PATH_SHARE = 8192, (3, 4, 5), 500, 0.25
+STEPS, RATE, DECAY = 250, 6.0, 1e-4
 
 #: Fixed values: (host, path, verdict), in the order of the contract.
 RULES = (
@@ -31,24 +34,43 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The small labelled table, host labels of unwanted sites and of ordinary ones, made up from common words.
-BAD = (
-    "pill-outlet", "spam-nest", "banner-ads", "casino-bonus", "free-casino", "win-money", "xxx-videos", "porn-hub", "adult-cams", "viagra-shop",
-    "cheap-meds", "online-poker", "payday-loans", "click-ads", "track-click", "pop-ads", "free-prizes", "hot-deals-now", "crack-warez", "torrent-free",
-    "spam-links", "link-farm", "seo-spam", "buy-followers", "cheap-watches", "pills-store", "slots-jackpot", "bet-winner", "adserver", "tracker-pixel",
+#: Words that the names of the small labelled table are made of, for unwanted and for ordinary sites.
+UNWANTED = (
+    "casino", "poker", "jackpot", "slots", "betting", "viagra", "pills", "meds", "porn", "xxx", "adult", "cams", "escort", "loans", "payday", "cash", "prize", "bonus", "free", "cheap",
+    "deals", "replica", "warez", "crack", "torrent", "keygen", "spam", "seo", "backlinks", "followers", "clicks", "ads", "popup", "tracker", "banner", "winner",
+    "bets", "gambling", "lottery", "roulette", "nude", "hacks", "cheats", "diet",
 )
-GOOD = (
-    "news", "blog.garden", "www.library", "docs.science", "m.weather", "school", "museum", "www.history", "recipes", "blog.travel",
-    "forum.music", "university", "www.cityhall", "archive", "health", "sports", "m.radio", "theatre", "www.nature", "cooking",
-    "astronomy", "blog.knitting", "www.bakery", "m.timetable", "orchestra", "hospital", "blog.cycling", "www.council", "m.swimming", "botany",
+ORDINARY = (
+    "library", "museum", "garden", "school", "weather", "history", "recipes", "travel", "music", "science", "archive", "health", "sports", "radio", "theatre", "nature", "cooking", "astronomy", "knitting", "bakery",
+    "timetable", "orchestra", "hospital", "cycling", "council", "swimming", "botany", "village", "river", "mountain", "harbour", "bridge", "market", "letters", "poems", "maps", "birds", "planets", "chess", "choir",
+    "meadow", "forest", "railway", "tiles", "pottery", "lessons", "grammar", "physics", "anthill", "harvest", "stones", "windmill", "sailing", "painting", "journal", "gazette", "notes", "diary", "kitchen", "atlas",
 )
-TLDS, LABEL_PATHS = ("example.com", "example.net", "example.org"), ("/en/123", "/fr/45.html", "/de/678/", "/es/9", "/en/4100")
+#: What both classes get alike.
+PREFIXES = ("", "", "www.", "www.", "blog.", "m.", "shop.", "news.", "en.", "static.")
+TLDS = ("com", "net", "org", "info", "io", "example.com", "example.net", "example.org", "co.uk", "de")
+LABEL_PATHS = ("", "/", "/index.html", "/en/12", "/fr/7.html", "/de/345/", "/es/9", "/a/b/c", "/2024/05/post", "/item.php", "/page/81", "/en/4100", "/about", "/search/x")
+SYLLABLES = ("an", "be", "co", "di", "er", "fa", "ga", "hi", "in", "ka", "le", "mo", "na", "or", "pe", "ra", "se", "ti", "un", "va", "th", "on", "st", "re")
+#: Rows of each class: ordinary sites are the more frequent ones, and a name of letters that were never seen is one of them.
+N_UNWANTED, N_ORDINARY = 150, 220
+
+
+def made_up(kind: str, k: int) -> str:
+    """The k-th URL of a class: a word, two words or (ordinary only) syllables, with a prefix, an end and a path that don't depend on the class."""
+
+    def draw(what: str, options: tuple[str, ...]) -> str:
+        return options[zlib.crc32(f"{kind}/{k}/{what}".encode()) % len(options)]
+
+    words = UNWANTED if kind == "unwanted" else ORDINARY
+    one, two = words[k % len(words)], draw("second", words)
+    forms = (one, f"{one}-{two}", f"{one}{two}", f"{two}-{one}", f"{one}-{draw('tail', SYLLABLES)}")
+    if kind == "ordinary" and k % 3 == 0:
+        forms = ("".join(draw(f"syllable{j}", SYLLABLES) for j in range(2 + k % 4)),)
+    return f"https://{draw('prefix', PREFIXES)}{draw('form', forms)}.{draw('end', TLDS)}{draw('path', LABEL_PATHS)}"
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The built-in labelled table: url, label (1: unwanted)."""
-    names = [(n, 1) for n in BAD] + [(n, 0) for n in GOOD]
-    rows = [(f"https://{n}.{TLDS[k % 3]}{LABEL_PATHS[(k + j) % 5]}", y) for k, (n, y) in enumerate(names) for j in (0, 2)]
+    rows = [(made_up("unwanted", k), 1) for k in range(N_UNWANTED)] + [(made_up("ordinary", k), 0) for k in range(N_ORDINARY)]
     values = ", ".join(f"('{u}', {y})" for u, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
 
@@ -61,7 +83,10 @@ def add_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Buckets of the character n-grams of host (with its ends marked) and of path, repeats included."""
+    """(b, x): buckets of the character n-grams of host (with its ends marked) and of path, repeats included, and their values.
+
+    The n-grams of a host have length 1 together, those of a path ``PATH_SHARE``, so a long path doesn't drown a short host.
+    """
 
     def of(kind: str, chars: Column, n: int) -> Column:
         at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
@@ -71,7 +96,8 @@ def grams(host: Column, path: Column) -> Column:
     split = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
     both = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path))
     out = [F.transform(F.array(split(s)), lambda chars: F.concat(*[of(kind, chars, n) for n in GRAMS]))[0] for kind, s in both]  # noqa: B023
-    return F.concat(*out)
+    valued = lambda g, share: F.transform(F.array(g), lambda bs: F.transform(bs, lambda b: F.struct(b.alias("b"), (F.lit(share) / F.sqrt(F.size(bs).cast("double"))).alias("x"))))[0]
+    return F.concat(valued(out[0], 1.0), valued(out[1], PATH_SHARE))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -79,7 +105,7 @@ def train(labelled: DataFrame) -> list[float]:
     rows = add_host_path(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("double").alias("y")))
     rows = rows.dropDuplicates(["url", "y"]).orderBy(F.xxhash64("url"), "url", "y").limit(MAX_LABELLED).coalesce(1)
     rows = rows.withColumn("g", grams(F.col("host"), F.col("path"))).select(F.xxhash64("url", "y").alias("i"), "y", "g")
-    x = rows.select("i", F.explode("g").alias("b"), (1 / F.sqrt(F.greatest(F.size("g"), F.lit(1)))).alias("c")).groupBy("i", "b").agg(F.sum("c").alias("x"))
+    x = rows.select("i", F.explode("g").alias("g")).groupBy("i", F.col("g.b").alias("b")).agg(F.sum("g.x").alias("x"))
     other = x.select(F.col("i").alias("j"), "b", F.col("x").alias("z"))
     inner = x.join(other, "b").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("z")).alias("k"))
     ids = rows.select("i", "y")
@@ -101,8 +127,7 @@ def train(labelled: DataFrame) -> list[float]:
 def score(host: Column, path: Column, weights: list[float]) -> Column:
     """Probability that a URL is unwanted."""
     w = F.from_json(F.lit(str(weights)), "array<double>")  # folded to one constant by the optimizer
-    g = grams(host, path)
-    z = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.sqrt(F.greatest(F.size(g), F.lit(1)))
+    z = F.aggregate(grams(host, path), F.lit(0.0), lambda a, g: a + F.get(w, g["b"]) * g["x"])
     return 1 / (1 + F.exp(-(z + F.lit(float(weights[BUCKETS])))))
 
 
