@@ -151,6 +151,18 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -
     return cold.unionByName(rows.join(hot, keys))
 
 
+def give_back() -> None:
+    """Hand memory that numpy and Arrow have freed back to the system; workers are kept for later stages, which would add theirs to it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class Memo(dict):
     """A function's values by argument, emptied when it holds ``most``."""
 

@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, labelled_sample, map_rows, read_table
+from .common import Memo, give_back, held_out, labelled_sample, map_rows, read_table
 
 BUCKETS, RANK, BINS, MAX_LABELLED = 1 << 16, 8, 12, 8000
 STATS = 11
+#: Bytes of text that are scored at a time; features and their products take about 50 times that.
+SCORE_BYTES = 2 << 20
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.08, 1e-5
 #: Upper ends of the bins of shares.
 SHARE_EDGES = np.array([0.0, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
@@ -140,9 +142,11 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text", out: str =
         raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
         row, slot, x = features(raw, memo)
         z = forward(model, row, slot, x.astype(np.float32), len(raw))[0]
+        del row, slot, x, raw
+        give_back()
         return {out: 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))}
 
-    return map_rows(docs, [text], run, {out: "double"})
+    return map_rows(docs, [text], run, {out: "double"}, most=SCORE_BYTES)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
