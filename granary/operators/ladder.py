@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_TRUSTED, GRAPH_OVERRIDES_GATE = 2, True
+#: Tiers whose answers no memo keeps.
+NEVER_KEPT = ("abstain", "greeting", "grievance")
 
 
 def cache_key(text, mode, language):
@@ -35,7 +37,7 @@ def tiers(requests: DataFrame) -> DataFrame:
         .when((F.col("mode") != "records") & F.col("lookup") & F.col("dominant") & (F.col("intent") == "policy_qa"), "extractive")
         .otherwise("synthesis")
     )
-    return requests.withColumns({"final_gate": gate, "tier": tier, "low_confidence": (gate == "answer_low_confidence") & ~tier.isin("record_lookup", "graph", "abstain", "greeting", "grievance"), "cached": ~tier.isin("abstain", "greeting", "grievance")})
+    return requests.withColumns({"final_gate": gate, "tier": tier, "low_confidence": (gate == "answer_low_confidence") & ~tier.isin("record_lookup", "graph", "abstain", "greeting", "grievance"), "cached": ~tier.isin(*NEVER_KEPT)})
 
 
 def first_of_equal(requests: DataFrame, key: str, order: str) -> DataFrame:
