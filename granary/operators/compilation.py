@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quantities as Q
 from ..functions.text import collapse
 from ..sources import snapshot
 
@@ -56,6 +57,18 @@ def figure_crosscheck(facts: DataFrame, pages: DataFrame) -> DataFrame:
     return seen.filter("not ok").select("fact_id", "figure")
 
 
+def quantity_crosscheck(facts: DataFrame, pages: DataFrame) -> DataFrame:
+    """facts: fact_id, text, page; pages: page, text -> fact_id, value, kind of quantities found neither on the fact's page nor on the next one.
+
+    Texts are read once; what is shuffled are distinct quantities, and the page after is the same quantity under
+    the number before. A null page cannot be checked and is not reported.
+    """
+    amount = lambda rows, *by: rows.select(*by, F.explode(Q.amounts(F.col("text"))).alias("a")).select(*by, "a.*").distinct()
+    stated = amount(facts.filter("page is not null"), "fact_id", "page")
+    held = amount(pages, "page").select(F.explode(F.array(F.col("page"), F.col("page") - 1)).alias("page"), "value", "kind")
+    return stated.join(held, ["page", "value", "kind"], "left_anti").select("fact_id", "value", "kind")
+
+
 def required_values(pages: DataFrame, required: DataFrame) -> DataFrame:
     """required: value, first, last -> value, whether the pages first to last hold it, page breaks ignored."""
     p = pages.select("page", collapse(F.col("text")).alias("t"))

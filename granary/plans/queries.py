@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compile_queries, graph_queries, ladder_queries, note_queries, record_queries, render_queries, retrieval_queries
+from . import compile_queries, graph_queries, ladder_queries, note_queries, quantity_queries, record_queries, render_queries, retrieval_queries
 
 
 def longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +18,7 @@ def longs(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
-MODULES = [retrieval_queries, graph_queries, record_queries, note_queries, render_queries, ladder_queries, compile_queries]
+MODULES = [retrieval_queries, graph_queries, record_queries, note_queries, quantity_queries, render_queries, ladder_queries, compile_queries]
 QUERIES = {k: longs(f) for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
