@@ -17,6 +17,8 @@ normalised one); the end is exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ CRORE, LAKH = 7, 5
 # ----------------------------------------------------------------------------------------------
 PATTERNS = {"stated": FIGURE, "sourced": SOURCED, "present": PRESENT}
 NUMBER = r"([0-9][0-9,]*)(?:\.([0-9]+))?"
+DIGIT = "[0-9०-९]"
 BLOCK = 256
+TYPED = "array<struct<surface: string, start: bigint, end: bigint, value: string, unit: string>>"
 
 
 def read_by(c: Column, grammar: str) -> Column:
@@ -44,11 +48,21 @@ def totals_within(xs: Column) -> Column:
     return F.aggregate(xs, none, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: what a lambda names from outside is computed anew for every element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def running_totals(xs: Column) -> Column:
     """Running totals of an array of any length, from totals of blocks."""
     n = F.ceil(F.size(xs) / BLOCK).cast("int")
     blocks = F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda b: totals_within(F.slice(xs, b * BLOCK + 1, BLOCK)))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("part"), with_zero(totals_within(F.transform(blocks, lambda b: F.element_at(b, -1)))).alias("before")), lambda z: F.transform(F.coalesce(z.part, F.array().cast("array<bigint>")), lambda x: x + z.before)))
+
+    def joined(parts: Column) -> Column:
+        before = with_zero(totals_within(F.transform(parts, lambda b: F.element_at(b, -1))))
+        return F.flatten(bound(before, lambda z: F.transform(parts, lambda b, k: F.transform(b, lambda x: x + F.get(z, k)))))
+
+    return bound(blocks, joined)
 
 
 def with_zero(xs: Column) -> Column:
@@ -83,9 +97,7 @@ def kind(u: Column) -> Column:
 
 def quantities(c: Column, grammar: str) -> Column:
     """array of (surface, start, end, value, unit) in the order of the text."""
-    text, pattern = read_by(c, grammar), PATTERNS[grammar]
-    found, gaps = all_matches(text, pattern), F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, k: (F.length(m) + F.length(F.get(gaps, k))).cast("long"))
+    pattern = PATTERNS[grammar]
     no_value = F.lit(None).cast("string")
 
     def typed(z: Column) -> Column:
@@ -99,9 +111,19 @@ def quantities(c: Column, grammar: str) -> Column:
             (no_value if grammar == "present" else unit(z.surface)).alias("unit"),
         )
 
-    return F.transform(F.arrays_zip(found.alias("surface"), running_totals(steps).alias("end")), typed)
+    def placed(text: Column) -> Column:
+        pieces = F.struct(all_matches(text, pattern).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+        steps = lambda p: F.transform(p.found, lambda m, k: (F.length(m) + F.length(F.get(p.gaps, k))).cast("long"))
+        return bound(pieces, lambda p: F.transform(F.arrays_zip(p.found.alias("surface"), bound(steps(p), running_totals).alias("end")), typed))
+
+    some = text_or_empty(c).rlike(DIGIT)  # most texts have none
+    return F.when(some, bound(read_by(c, grammar), placed)).otherwise(F.array().cast(TYPED))
 
 
 def amounts(c: Column, grammar: str = "stated") -> Column:
     """Distinct (value, kind) of a text: what its figures are worth, however they are spelled."""
-    return F.array_distinct(F.transform(quantities(c, grammar), lambda x: F.struct(x.value.alias("value"), kind(x.unit).alias("kind"))))
+    return F.array_distinct(F.transform(quantities(c, grammar), amount))
+
+
+def amount(x: Column) -> Column:
+    return F.struct(x.value.alias("value"), kind(x.unit).alias("kind"))

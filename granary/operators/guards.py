@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.quantities import amounts, kind, quantities
+from ..functions.quantities import amount, amounts, bound, quantities
 from ..functions.text import DISCLOSURE_WORDS, citation_numbers, figures, normalize_figures, text_or_empty
 
 
@@ -23,8 +23,7 @@ def leaked_figures(answer: Column, context: Column, compat: bool = False) -> Col
 
 def leaked_quantities(answer: Column, context: Column) -> Column:
     """Quantities of the answer that the context doesn't have, by value: 10 Crore stands for 100000000. The answer's own spellings are returned."""
-    known = amounts(context)
-    strange = F.filter(quantities(answer, "stated"), lambda x: ~F.array_contains(known, F.struct(x.value.alias("value"), kind(x.unit).alias("kind"))))
+    strange = bound(amounts(context), lambda known: F.filter(quantities(answer, "stated"), lambda x: ~F.array_contains(known, amount(x))))
     return F.array_distinct(F.transform(strange, lambda x: x.surface))
 
 

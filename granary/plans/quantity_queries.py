@@ -41,9 +41,15 @@ QUERIES = {"typed_quantities": typed_quantities, "quantity_crosscheck": quantity
 # --- SQL
 
 
+def uniform_sql(x: str) -> str:
+    r"""norm_sql with word boundaries that know accented letters: DuckDB's \b does not, so a mark joins them to their neighbours for the while."""
+    joined = f"regexp_replace(regexp_replace(coalesce({x}, ''), '([À-ɏ])([A-Za-z])', '\\1QZZQ\\2', 'g'), '([A-Za-z])([À-ɏ])', '\\1QZZQ\\2', 'g')"
+    return f"replace({norm_sql(joined)}, 'QZZQ', '')"
+
+
 def spans_sql(rows: str, key: str, grammar: str) -> str:
     """(key, surface, start_at, end_at, value, unit); each match is sought in what is left behind the one before by its number of characters."""
-    text = norm_sql(f"regexp_replace(text, {q(chr(92) + '[S' + chr(92) + 'd+' + chr(92) + ']')}, ' ', 'g')") if grammar == "stated" else "coalesce(text, '')"
+    text = uniform_sql(f"regexp_replace(text, {q(chr(92) + '[S' + chr(92) + 'd+' + chr(92) + ']')}, ' ', 'g')") if grammar == "stated" else "coalesce(text, '')"
     shown = "lower(trim(m, ' ,'))" if grammar == "stated" else "m"
     number = q(Q.NUMBER)
     whole, part = f"replace(regexp_extract(m, {number}, 1), ',', '')", f"regexp_extract(m, {number}, 2)"
