@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.retrieve import retrieve
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
@@ -194,3 +195,34 @@ QUERIES |= {f"{k}_every50": f for k, f in EVERY.items()}
 SQL |= {f"{k}_every50": stated(SQL[k]) for k in EVERY}
 IN_ENGLISH = " AND v.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 SQL["filtered_knn_every50"] = stated(f"WITH {DENSE.format(where=IN_ENGLISH)} SELECT * FROM dense")
+
+# --- the whole retrieval: items divisible by 50 in two wordings (their own and that of the item after), documents gated by language
+
+
+def retrieve_top12(s, d) -> DataFrame:
+    items = table(s, d, "benchmark").join(vectors(s, d).select(F.col("doc_id").alias("item_id"), "embedding"), "item_id", "left")
+    wordings = items.select("text", "embedding", "item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant")).filter((F.col("item_id") >= F.col("variant")) & ((F.col("item_id") - F.col("variant")) % 50 == 0))
+    questions = wordings.select((F.col("item_id") - F.col("variant")).alias("query_id"), "variant", "text", "embedding")
+    return retrieve(questions, table(s, d, "documents").select("doc_id", "text", "lang"), vectors(s, d), thresholds(s), "lang")
+
+
+QUERIES["retrieve_top12"] = retrieve_top12
+SQL["retrieve_top12"] = f"""WITH qs AS (SELECT item_id - v AS query_id, v, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id, (VALUES (0), (1)) AS w(v) WHERE item_id >= v AND (item_id - v) % 50 = 0),
+dense AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.query_id, q.v, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
+    sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score FROM embeddings e, qs q WHERE q.embedding IS NOT NULL) QUALIFY rank <= 30),
+sparse AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.query_id, q.v, p.doc_id, sum(p.tf * q.tf) AS score FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS t FROM documents) GROUP BY ALL) p
+  JOIN (SELECT query_id, v, t, count(*) AS tf FROM (SELECT query_id, v, unnest({TOKENS}) AS t FROM qs) GROUP BY ALL) q USING (t) GROUP BY ALL) QUALIFY rank <= 30),
+lists AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY round(coalesce(1e0 / (60 + d.rank), 0e0) + coalesce(1e0 / (60 + s.rank), 0e0), 9) DESC, doc_id) AS place
+  FROM dense d FULL OUTER JOIN sparse s USING (query_id, v, doc_id) QUALIFY place <= 12),
+short AS (SELECT query_id, doc_id, round(sum(1e0 / (60 + place)), 9) AS fused FROM lists GROUP BY ALL),
+short12 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS fused_rank FROM short QUALIFY fused_rank <= 12),
+own AS (SELECT query_id, text FROM qs WHERE v = 0),
+pairs AS (SELECT query_id, doc_id, lang, fused, fused_rank, list_distinct(regexp_extract_all(lower(own.text), '[a-z0-9]+')) AS w, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t FROM short12 JOIN documents d USING (doc_id) JOIN own USING (query_id)),
+scored AS (SELECT query_id, doc_id, lang, fused, fused_rank, round(1 / (1 + exp(-(8e0 * len(list_intersect(w, t)) / greatest(len(w), 1) - 4))), 6) AS score FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored),
+thresholds AS (SELECT * FROM (VALUES ('en', 0.6e0, 0.985e0), ('fr', 0.9e0, 0.99e0)) AS t(lang, h, s)),
+gate AS (SELECT query_id, coalesce(score, 0e0) AS top_score, CASE WHEN coalesce(score, 0e0) < coalesce(h, 0.5e0) THEN 'abstain' WHEN coalesce(score, 0e0) < coalesce(s, 0.7e0) THEN 'answer_low_confidence' ELSE 'answer' END AS action
+  FROM own LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) USING (query_id) LEFT JOIN thresholds USING (lang))
+SELECT query_id, action, top_score, doc_id, score, rank, fused, fused_rank FROM gate LEFT JOIN ranked USING (query_id)"""
