@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +13,16 @@ from .retrieval_queries import table
 TAG = "<[^>]*>"
 
 
+def under(grammar: str):
+    return lambda x: F.struct(F.lit(grammar).alias("grammar"), x.alias("x"))
+
+
 def typed_quantities(s: SparkSession, d: str) -> DataFrame:
     """Every quantity of every document under each grammar."""
     docs = table(s, d, "documents").select("doc_id", "text")
-    lists = [docs.select("doc_id", F.lit(g).alias("grammar"), F.explode(Q.quantities(F.col("text"), g)).alias("x")) for g in Q.PATTERNS]
-    return reduce(DataFrame.unionByName, lists).select("doc_id", "grammar", F.col("x.surface"), F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"), F.col("x.value"), F.col("x.unit"))
+    named = [F.transform(Q.quantities(F.col("text"), g), under(g)) for g in Q.PATTERNS]
+    rows = docs.select("doc_id", F.explode(F.concat(*named)).alias("r"))
+    return rows.select("doc_id", "r.grammar", F.col("r.x.surface"), F.col("r.x.start").alias("start_at"), F.col("r.x.end").alias("end_at"), F.col("r.x.value"), F.col("r.x.unit"))
 
 
 def quantity_crosscheck(s: SparkSession, d: str) -> DataFrame:
