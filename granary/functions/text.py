@@ -32,6 +32,15 @@ CATEGORIES = (("micro", r"(?i)\bmicro\b|सूक्ष्म"), ("small", r"(?i
 UNITS = ((r"(?i)\bcroe\b", "crore"), (r"(?i)\bcror(es)?\b", "crore"), (r"(?i)\bcrores\b", "crore"), (r"करोड़?", "crore"), (r"(?i)\blakhs?\b", "lakh"), (r"लाख", "lakh"), (r"(?i)₹|\bRs\.?,?\s?|\bINR\b", "RUPEE "))
 FIGURE = r"(?i)(?:RUPEE\s?)?\d[\d,]*(?:\.\d+)?\s*(?:%|crore|lakh|kw)?"
 DISCLOSURE_WORDS = ("clarification", "not specified", "unclear", "cannot be determined", "not defined")
+#: Letters that have no capital of one letter (or one that is newer than the tables of SQL engines), and those whose capital of one letter differs from the full mapping.
+NO_CAPITAL = (
+    "\u0149\u019b\u01f0\u0264\u0390\u03b0\u0587\u1c8a\u1e96-\u1e9a\u1f50\u1f52\u1f54\u1f56\u1f88-\u1f8f\u1f98-\u1f9f\u1fa8-\u1faf\u1fb2\u1fb4\u1fb6-\u1fb7\u1fbc\u1fc2\u1fc4\u1fc6-\u1fc7\u1fcc"
+    "\u1fd2-\u1fd3\u1fd6-\u1fd7\u1fe2-\u1fe4\u1fe6-\u1fe7\u1ff2\u1ff4\u1ff6-\u1ff7\u1ffc\ua7cd\ua7db\ufb00-\ufb06\ufb13-\ufb17\U00010d70-\U00010d85"
+)
+ONE_CAPITAL = (
+    "\xdf\u1f80\u1f81\u1f82\u1f83\u1f84\u1f85\u1f86\u1f87\u1f90\u1f91\u1f92\u1f93\u1f94\u1f95\u1f96\u1f97\u1fa0\u1fa1\u1fa2\u1fa3\u1fa4\u1fa5\u1fa6\u1fa7\u1fb3\u1fc3\u1ff3",
+    "\u1e9e\u1f88\u1f89\u1f8a\u1f8b\u1f8c\u1f8d\u1f8e\u1f8f\u1f98\u1f99\u1f9a\u1f9b\u1f9c\u1f9d\u1f9e\u1f9f\u1fa8\u1fa9\u1faa\u1fab\u1fac\u1fad\u1fae\u1faf\u1fbc\u1fcc\u1ffc",
+)
 LIFECYCLE = {"verified": "stable", "unverified": "stable", "superseded": "deprecated", "disputed": "draft"}
 # ----------------------------------------------------------------------------------------------
 
@@ -61,6 +70,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
 
 
+def simple_upper(c: Column) -> Column:
+    """Capitals letter by letter, as SQL engines give them: \u00df becomes \u1e9e, not SS, and no text grows."""
+    special = f"[{NO_CAPITAL}{ONE_CAPITAL[0]}]"
+    pieces = F.regexp_extract_all(c, F.lit(f"{special}+|[^{special[1:]}+"), F.lit(0))
+    each = F.transform(pieces, lambda x: F.when(x.rlike(f"^{special}"), F.translate(x, *ONE_CAPITAL)).otherwise(F.upper(x)))
+    return F.when(c.rlike(special), F.array_join(each, "")).otherwise(F.upper(c))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

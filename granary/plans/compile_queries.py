@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import simple_upper
 from ..operators import constraints as K
 from ..operators import incremental as I
 from ..operators.compilation import union_all
@@ -40,7 +41,7 @@ def snapshot_versions(s, d) -> DataFrame:
 def note_versions(s, d) -> tuple[DataFrame, DataFrame]:
     notes = table(s, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 3)).alias("refers"))
     old = notes.filter("doc_id % 83 <> 7")
-    new = notes.filter("doc_id % 89 <> 3").withColumn("text", F.when(F.col("doc_id") % 97 == 5, F.upper("text")).otherwise(F.col("text")))
+    new = notes.filter("doc_id % 89 <> 3").withColumn("text", F.when(F.col("doc_id") % 97 == 5, simple_upper(F.col("text"))).otherwise(F.col("text")))
     return old, new
 
 
@@ -50,7 +51,7 @@ def links_of(notes: DataFrame) -> DataFrame:
 
 def breadcrumbs(some: DataFrame, every: DataFrame) -> DataFrame:
     """doc_id, title, path: the titles of the note that a note refers to and of the one that that refers to; a missing one is told."""
-    title = F.left(F.regexp_replace("text", r"\s+", " "), F.lit(20))
+    title = F.left(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), F.lit(20))  # SQL's \s has no vertical tab
     one = every.select(F.col("doc_id").alias("r1"), title.alias("t1"), F.col("refers").alias("n2"))
     two = every.select(F.col("doc_id").alias("r2"), title.alias("t2"))
     j = some.join(one, F.col("refers") == F.col("r1"), "left").join(two, F.col("n2") == F.col("r2"), "left")

@@ -114,6 +114,20 @@ def test_nothing_changed_makes_nothing(spark):
     assert report.count() == 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, done.collect()))
 
 
+def test_breadcrumbs_equal_sql_on_letters_without_capitals(spark, tmp_path):
+    import duckdb
+
+    from granary.plans import compile_queries as Q
+
+    rows = [(i, t) for i, t in enumerate(["Große Maße\n\nß", "a\x0bb \t\r\fc", "ﬁne ŉ", None, "", "ßßßßßßßßßßßß and twenty more"] * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("incremental_compile", "incremental_report"):
+        got = sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+        assert got == sorted(con.execute(Q.SQL[name]).fetchall(), key=repr)
+
+
 # --- rules
 
 

@@ -59,3 +59,11 @@ def test_one_line(spark):
 def test_cache_points_to_first_request(spark):
     df = spark.createDataFrame([(2, "k"), (1, "k"), (3, "other")], "id long, key string")
     assert {(r.id, r.answered_by, r.cached) for r in first_of_equal(df, "key", "id").collect()} == {(1, 1, False), (2, 1, True), (3, 3, False)}
+
+
+def test_capitals_are_those_of_sql(spark):
+    import duckdb
+
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    for text in (every, "Straße ﬁn\nŉ ß", "plain", "", None):
+        assert one(spark, T.simple_upper, text) == duckdb.execute("SELECT upper(?::VARCHAR)", [text]).fetchall()[0][0]
