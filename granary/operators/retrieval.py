@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_words, sigmoid
+from . import sparse
 
 RRF_K, DENSE_TOP, SPARSE_TOP, SHORTLIST, CONTEXT = 60, 30, 30, 12, 6
 DOMINANCE = 0.15
@@ -111,10 +112,10 @@ def sparse_topk(doc_postings: DataFrame, query_postings: DataFrame, k: int = SPA
 
 
 def sparse_search(texts: DataFrame, questions: DataFrame, k: int = SPARSE_TOP) -> DataFrame:
-    """sparse_topk over texts (doc_id, text) and questions (query_id, text); only tokens that a question has are counted and shuffled."""
-    asked = postings(questions, "query_id")
-    tokens = texts.select("doc_id", F.explode(alnum_words(F.col("text"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    return sparse_topk(tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf")), asked, k)
+    """sparse_topk over texts (doc_id, text) and questions (query_id, text), in blocks of documents: no pair of query and document is written."""
+    named = sparse.vectors(postings(questions, "query_id"))
+    rows = sparse.merged(texts).select("doc_id", alnum_words(F.col("text")).alias("words"))
+    return sparse.best_of(sparse.products(rows, named, k), named, k)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, top: int = SHORTLIST) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import index as IX
 from granary.operators import retrieval as R
+from granary.operators import sparse as S
 
 
 def plain_knn(rows, queries, k):
@@ -66,6 +67,26 @@ def test_index_equals_all_postings_and_leaves_blocks_out(spark, texts, tmp_path,
     assert w.s < 0.6 * w.b  # most blocks cannot hold one of the best
 
 
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_search_in_sets_equals_all_postings(spark, texts, monkeypatch, ids):
+    monkeypatch.setattr(S, "MOST_VECTORS", 3)
+    monkeypatch.setattr(S, "CELLS", 4)
+    again = texts.filter("doc_id < 40").unionByName(texts.filter("doc_id between 20 and 60")).unionByName(texts.filter("doc_id > 60"))  # ids with two rows
+    rows = again.withColumn("doc_id", F.col("doc_id").cast(ids))
+    questions = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["w3 w50 w50", "w0", "w50 w3 w50", "", "w1 w2", "W0!", "w399", "none of them", "w7 w8 w9 w10 w11"] * 3)], "query_id string, text string")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    assert key(R.sparse_search(rows, questions, 7)) == key(R.sparse_topk(R.postings(rows, "doc_id"), R.postings(questions, "query_id"), 7))
+
+
+def test_what_a_search_sends_grows_with_distinct_questions_alone(spark, texts, tmp_path):
+    IX.build(texts, str(tmp_path / "ix"))
+    questions = spark.range(2000).select(F.col("id").alias("query_id"), F.concat(F.lit("w0 w"), F.col("id") % 5).alias("text"))
+    named = S.vectors(R.postings(questions, "query_id"))
+    found = S.products(IX.snapshot.read(spark, str(tmp_path / "ix"))["postings"], named, 3)
+    assert found.count() <= 5 * 4 * found.rdd.getNumPartitions()
+    assert IX.search(spark, str(tmp_path / "ix"), R.postings(questions, "query_id"), 3)[0].count() == 6000
+
+
 def test_empty_index(spark, texts, tmp_path):
     IX.build(texts.limit(0), str(tmp_path / "ix"))
     asked = R.postings(spark.createDataFrame([(0, "w3")], "query_id long, text string"), "query_id")
