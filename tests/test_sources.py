@@ -101,3 +101,13 @@ def test_records_and_notes_as_frames(spark):
     back = vault.records_of(vault.notes_of(spark.createDataFrame(given, "entity string, record string"), "test")).collect()
     assert {r.entity: json.loads(r.record) for r in back} == RECORDS
     assert vault.notes_of(spark.createDataFrame([], "entity string, record string")).count() == 0
+
+
+def test_roundtrip_joins_nothing_and_keeps_equal_records(spark, tmp_path):
+    from granary.plans import render_queries as Q
+
+    spark.sql("SELECT 1L AS n_nationkey, 'A' AS n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.sql("SELECT 7L AS c_custkey, 'X' AS c_name FROM range(3)").write.parquet(str(tmp_path / "customer.parquet"))
+    got = Q.vault_roundtrip(spark, str(tmp_path))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in got.collect()) == ["D1", "I7", "I7", "I7"]
