@@ -5,8 +5,9 @@ quality classifier -> near-dedup -> benchmark decontamination -> PII -> Sentence
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each but the last returns the columns
 of ``documents``. Documents that the classifier scores below 0.5 go; of each group of near copies (five-word
 shingles, Jaccard similarity 0.8 or more) one stays; documents that leak a benchmark item go; personal data is replaced by its kind in angle
-brackets (n_chars follows the new text); what is left is encoded, one sampled segmentation for each
-document, and decoded again as a check.
+brackets (n_chars follows the new text); what is left is encoded, SAMPLES segmentations sampled without
+replacement for each document, and decoded again as a check: the columns of a row are those of the best sample, ``samples`` has all of
+them in order, and ``round_trip`` says that all were decoded to the text.
 
 No SQL expresses the stages, so there is no oracle; tests hold each stage against a brute-force version.
 """
@@ -44,9 +45,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocab = sentencepiece_sampling.vocabulary()
     samples = free_name(docs, "__samples")
-    found = sentencepiece_sampling.sample_segmentations(docs, vocab, ["doc_id"], k=1, ids=True, out=samples)
+    found = sentencepiece_sampling.sample_segmentations(docs, vocab, ["doc_id"], ids=True, out=samples)
     s = F.col(samples)[0]
-    return found.select("doc_id", "lang", "source", *[s.getField(c).alias(c) for c in ("n_pieces", "log_prob", "inclusion", "round_trip", "ids_hash", "ids")])
+    best = [s.getField(c).alias(c) for c in ("n_pieces", "log_prob", "inclusion", "ids_hash", "ids")]
+    return found.select("doc_id", "lang", "source", *best, F.forall(samples, lambda x: x["round_trip"]).alias("round_trip"), F.col(samples).alias("samples"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("encode", encode)]

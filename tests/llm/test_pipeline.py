@@ -37,6 +37,15 @@ def test_run(spark, sf_dir):
     assert P.ORACLE_SQL is None and P.run(spark, sf_dir).count() > 0
 
 
+def test_encode_samples_without_replacement(spark, make_docs):
+    docs = make_docs(["some ordinary text, and more of it", "the cat sat on the mat", "", None])
+    rows = {r.doc_id: r for r in dict(P.STAGES)["encode"](spark, docs, "").collect()}
+    assert len(rows) == 4 and all(r.round_trip and r.samples[0].ids == r.ids for r in rows.values())
+    drawn = [r.samples for r in rows.values() if r.n_pieces]
+    assert len(drawn) == 2 and all(len(x) == 2 and x[0].ids != x[1].ids and x[0].value >= x[1].value for x in drawn)
+    assert all(0 < s.inclusion < 1 for x in drawn for s in x)
+
+
 def test_empty_documents(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").limit(0)
     for _, stage in P.STAGES:
