@@ -95,7 +95,8 @@ def knowledge(s, d) -> A.Knowledge:
 
     def retrieve(asked: DataFrame) -> DataFrame:
         found = R.sparse_search(c.select("doc_id", "text"), asked).filter(F.col("rank") <= R.SHORTLIST).select("query_id", "doc_id")
-        pairs = found.join(c.select("doc_id", "text", F.col("document").alias("source_type")), "doc_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
+        # texts come last, so that none is shuffled with its pairs
+        pairs = found.join(asked.withColumnRenamed("text", "query_text"), "query_id").join(c.select("doc_id", "text", F.col("document").alias("source_type")), "doc_id")
         return R.rerank(pairs).drop("text", "query_text")
 
     def walk(asked: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def verbatim_generator(question: str, sources: list[str]) -> str:
     return f"{sources[0]} [S1]" if sources else ""
 
 
-def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verbatim_generator, out: str = "answer") -> DataFrame:
-    """rows: query_id, question, sources array<string> -> query_id, answer. A generator that fails once is asked again, then the first source is quoted."""
+def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verbatim_generator, out: str = "answer", kept: tuple[str, ...] = ()) -> DataFrame:
+    """rows: query_id, question, sources array<string> -> query_id, answer and the columns ``kept``. A generator that fails once is asked again, then the first source is quoted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -65,10 +65,11 @@ def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verba
                         answers.append(generator(q, s))
                     except Exception:
                         answers.append(verbatim_generator(q, s))
-            yield pd.DataFrame({"query_id": b["query_id"], out: answers})
+            yield pd.DataFrame({"query_id": b["query_id"], out: answers} | {c: b[c] for c in kept})
 
     kind = rows.schema["query_id"].dataType.simpleString()
-    return rows.select("query_id", "question", "sources").mapInPandas(run, f"query_id {kind}, {out} string")
+    passed = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select("query_id", "question", "sources", *kept).mapInPandas(run, f"query_id {kind}, {out} string{passed}")
 
 
 def transliterate(text):
