@@ -37,8 +37,8 @@ from .wordhash import GOLD, Hasher, U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, ALPHA, SAMPLES, SEED = 2.7, 1.0, 2, 17
-#: Bytes of text that share lattices; a worker holds about 50 times as much.
-BATCH = 5 << 19
+#: Bytes of text that share lattices; a worker holds about 100 times as much while it samples.
+BATCH = 5 << 18
 #: Characters of distinct words whose lattices are built at a time.
 PART = 1 << 16
 #: Rank given to pieces without one (runs of blanks).
@@ -452,36 +452,50 @@ class Batch:
 SAMPLE_TYPE = "array<struct<rank:int,n_pieces:int,log_prob:double,value:double,inclusion:double,round_trip:boolean,ids_hash:bigint{ids}>>"
 
 
-def sample_segmentations(docs: DataFrame, vocab: dict, keys: list[str], text: str = "text", out: str = "samples", k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, ids: bool = False) -> DataFrame:
+def encode_batch(codec: Codec, hasher: Hasher, texts: list[str], keys: np.ndarray, k: int, ids: bool):
+    """Up to k samples of each text as an Arrow array of SAMPLE_TYPE; the paths are spelled one at a time."""
+    import pyarrow as pa
+
+    batch = Batch(codec, texts, keys, hasher)
+    found = batch.samples(k)
+    ends = np.r_[0, np.cumsum([len(ss) for ss in found])].astype(np.int32)
+    samples = [s for ss in found for s in ss]
+    text_of = np.repeat(np.arange(len(texts)), np.diff(ends))
+    size, hashes, same = np.zeros(len(samples), np.int32), np.zeros(len(samples), np.int64), np.zeros(len(samples), bool)
+    pieces: list[np.ndarray] = [np.zeros(0, np.int32)] * len(samples)
+    path = np.array([s["path"] for s in samples], np.int64)
+    raw = [t.encode() for t in texts]
+    for r in range(-1, len(batch.paths)):
+        mine = np.flatnonzero(path == r)
+        i, at = batch.ids(batch.paths[r] if r >= 0 else np.zeros(0, np.int64))
+        said, place = codec.decode(i), np.r_[0, np.cumsum(codec.spell_len[i])]
+        begin, end = (at[[samples[n][side] for n in mine]] for side in ("begin", "end"))
+        size[mine], hashes[mine] = end - begin, hasher.spans(mix(i.astype(np.uint64)), begin, end).view(np.int64)
+        for n, x, y in zip(mine.tolist(), begin.tolist(), end.tolist(), strict=True):
+            same[n] = said[place[x] : place[y]][1:] == raw[text_of[n]]
+            pieces[n] = i[x:y]
+    columns = {"rank": np.arange(len(samples), dtype=np.int32) - ends[text_of] + np.int32(1), "n_pieces": size}
+    columns |= {c: np.array([s[c] for s in samples], np.float64) for c in ("log_prob", "value", "inclusion")}
+    arrays = {c: pa.array(x) for c, x in (columns | {"round_trip": same, "ids_hash": hashes}).items()}
+    if ids:
+        arrays["ids"] = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), np.concatenate([np.zeros(0, np.int32), *pieces]))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(arrays.values()), list(arrays)))
+
+
+def sample_segmentations(docs: DataFrame, vocab: dict, keys: list[str], text: str = "text", out: str = "samples", k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Add up to k distinct sampled segmentations of each whole text, best perturbed value first.
 
     ``keys`` are the columns that seed a row; with ``ids`` the piece ids are returned as well.
+    ``keep`` names the columns to pass through (default: all).
     """
 
-    def run(texts: list[str | None], row_keys: list[int]) -> dict[str, list]:
+    def run(texts: list[str | None], row_keys: list[int]) -> dict:
         codec, hasher = shared_codec(vocab, alpha)
-        raw = [t or "" for t in texts]
-        batch = Batch(codec, raw, np.array(row_keys, np.int64).view(np.uint64), hasher)
-        found = batch.samples(k)
-        spelled = []
-        for flat in batch.paths:
-            i, at = batch.ids(flat)
-            spelled.append((i, at, codec.decode(i), np.r_[0, np.cumsum(codec.spell_len[i])]))
-        rows = [[] for _ in raw]
-        for r in range(-1, len(spelled)):
-            mine = [(t, rank, s) for t, ss in enumerate(found) for rank, s in enumerate(ss) if s["path"] == r]
-            i, at, said, place = spelled[r] if r >= 0 else (np.zeros(0, np.int32), np.zeros(1, np.int64), b"", np.zeros(1, np.int64))
-            a, e = at[[s["begin"] for _, _, s in mine]], at[[s["end"] for _, _, s in mine]]
-            hashes = hasher.spans(mix(i.astype(np.uint64)), a, e).view(np.int64).tolist()
-            for (t, rank, s), x, y, h in zip(mine, a.tolist(), e.tolist(), hashes, strict=True):
-                row = {"rank": rank + 1, "n_pieces": y - x, "log_prob": s["log_prob"], "value": s["value"], "inclusion": s["inclusion"]}
-                row |= {"round_trip": said[place[x] : place[y]][1:] == raw[t].encode(), "ids_hash": h}
-                rows[t].append(row | ({"ids": i[x:y]} if ids else {}))
-        return {out: rows}
+        return {out: encode_batch(codec, hasher, [t or "" for t in texts], np.array(row_keys, np.int64).view(np.uint64), k, ids)}
 
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), *keys))
     kind = SAMPLE_TYPE.format(ids=",ids:array<int>" if ids else "")
-    return map_rows(keyed, [text, "__key"], run, {out: kind}, keep=docs.columns, most=BATCH)
+    return map_rows(keyed, [text, "__key"], run, {out: kind}, keep=docs.columns if keep is None else keep, most=BATCH)
 
 
 def decode(ids: list[int], codec: Codec) -> str:
@@ -490,5 +504,5 @@ def decode(ids: list[int], codec: Codec) -> str:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = sample_segmentations(docs, vocabulary(), ["doc_id"], ids=True).select("doc_id", F.explode("samples").alias("s"))
+    found = sample_segmentations(docs, vocabulary(), ["doc_id"], ids=True, keep=["doc_id"]).select("doc_id", F.explode("samples").alias("s"))
     return found.select("doc_id", "s.*")

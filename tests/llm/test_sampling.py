@@ -93,3 +93,49 @@ def test_rows_do_not_depend_on_each_other(codec):
     alone = S.Batch(codec, ["one two"], keys[2:])
     a, b = together.samples(2)[2], alone.samples(2)[0]
     assert [cells(together, s).tolist() for s in a] == [cells(alone, s).tolist() for s in b]
+
+
+def test_memory_of_a_batch(codec):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 10, 60_000)]
+    texts, size = [], 0
+    while size < S.BATCH:
+        texts.append(" ".join(rng.choice(words, 300)))
+        size += len(texts[-1])
+    tracemalloc.start()
+    try:
+        S.Batch(codec, texts, np.arange(len(texts), dtype=np.uint64)).samples(2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160e6  # 220 MB with batches of 2.6 MB
+
+
+def test_cuts_of_batches_change_nothing(spark, vocab, make_docs, monkeypatch):
+    docs = make_docs([*TEXTS, None, *(f"text {k} of many" for k in range(40))], extra="x")
+    columns = ["doc_id", "text", "s.rank", "s.n_pieces", "s.ids_hash", "s.ids", "s.round_trip", "s.log_prob"]
+
+    def rows(keep=None):
+        found = S.sample_segmentations(docs, vocab, ["doc_id"], ids=True, keep=keep)
+        return found, sorted(found.selectExpr("*", "explode(samples) as s").select([c for c in columns if c != "text"]).collect(), key=lambda r: (r.doc_id, r.rank))
+
+    found, whole = rows()
+    assert found.columns == [*docs.columns, "samples"]
+    monkeypatch.setattr(S, "BATCH", 50)
+    found, cut = rows(["doc_id"])
+    assert found.columns == ["doc_id", "samples"]
+    assert [r[:-1] for r in whole] == [r[:-1] for r in cut]
+    assert np.allclose([r.log_prob for r in whole], [r.log_prob for r in cut], rtol=1e-9, atol=1e-6)
+
+
+def test_arrow_samples_are_those_of_the_batch(codec):
+    keys = np.array([5, 6, 7], np.uint64)
+    texts = ["one two", "", "é퟿n"]
+    got = S.encode_batch(codec, S.Hasher(), texts, keys, 3, True).to_pylist()
+    batch = S.Batch(codec, texts, keys)
+    for row, want, text in zip(got, batch.samples(3), texts, strict=True):
+        assert [(s["rank"], s["log_prob"], s["value"], s["inclusion"], s["ids"]) for s in row] == [(k + 1, s["log_prob"], s["value"], s["inclusion"], cells(batch, s).tolist()) for k, s in enumerate(want)]
+        assert all(s["round_trip"] and S.decode(s["ids"], codec) == text and s["n_pieces"] == len(s["ids"]) for s in row)
+    assert S.encode_batch(codec, S.Hasher(), [], keys[:0], 3, False).to_pylist() == []
