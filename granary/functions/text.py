@@ -31,6 +31,8 @@ CATEGORIES = (("micro", r"(?i)\bmicro\b|सूक्ष्म"), ("small", r"(?i
 #: Unit spellings (the source's own slips included) and what they count as.
 UNITS = ((r"(?i)\bcroe\b", "crore"), (r"(?i)\bcror(es)?\b", "crore"), (r"(?i)\bcrores\b", "crore"), (r"करोड़?", "crore"), (r"(?i)\blakhs?\b", "lakh"), (r"लाख", "lakh"), (r"(?i)₹|\bRs\.?,?\s?|\bINR\b", "RUPEE "))
 FIGURE = r"(?i)(?:RUPEE\s?)?\d[\d,]*(?:\.\d+)?\s*(?:%|crore|lakh|kw)?"
+#: What ends no number, tag or currency mark, and a blank: no figure reaches over it.
+NO_FIGURE = r"[^\s0-9०-९,.\]₹EeRrSs]\s"
 DISCLOSURE_WORDS = ("clarification", "not specified", "unclear", "cannot be determined", "not defined")
 #: Letters that have no capital of one letter (or one that is newer than the tables of SQL engines), and those whose capital of one letter differs from the full mapping.
 NO_CAPITAL = (
@@ -130,6 +132,18 @@ def figures(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.rlike(r"\d")))
 
 
+def figure_parts(c: Column) -> Column:
+    """(figures, edge) of a text, so that texts joined by line breaks have the figures of all and those of their edges joined.
+
+    The edge is the text up to the first place and from the last one that no figure reaches over (``NO_FIGURE``); a
+    text without such a place is all edge. Nulls have a null edge, which a join leaves out.
+    """
+    head = F.regexp_extract(c, rf"(?s)^.*?{NO_FIGURE}", 0)
+    tail = F.regexp_extract(c, rf"(?s)^.*{NO_FIGURE}(.*)$", 1)
+    inner = F.substring(c, F.length(head) + 1, F.length(c) - F.length(head) - F.length(tail))
+    return F.struct(F.when(head == "", F.array().cast("array<string>")).otherwise(figures(inner)).alias("figures"), F.when(head == "", c).otherwise(F.concat(head, tail)).alias("edge"))
+
+
 def citation_numbers(c: Column) -> Column:
     return F.transform(all_matches(c, r"\[S(\d+)\]", 1), lambda x: x.cast("int"))
 

@@ -93,10 +93,11 @@ def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
 
     A question's word n-grams are exploded and joined on equality, for the numbers n of words that aliases have (one small aggregate).
     """
-    words = F.split(alnum(F.col("text")), " ")
+    words = F.col("__words")  # made once a question: what a lambda names from outside is computed anew for every element
     lengths = aliases.agg(F.array_sort(F.collect_set(F.size(F.split("alias", " ")))).alias("__lengths"))
     grams = F.flatten(F.transform(F.col("__lengths"), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    asked = questions.select("query_id", "text").join(F.broadcast(lengths), F.lit(True))
+    split = questions.select("query_id", F.explode(F.array(F.split(alnum(F.col("text")), " "))).alias("__words"))
+    asked = split.join(F.broadcast(lengths), F.lit(True))
     return asked.select("query_id", F.explode(F.array_distinct(grams)).alias("alias")).join(aliases, "alias")
 
 
@@ -115,16 +116,31 @@ def neighbours(edges: DataFrame, reverse_factor: float) -> DataFrame:
     return edges.select("src", "dst", "kind", "w").unionByName(back)
 
 
+def best_steps(steps: DataFrame, priority: Column, cfg: WalkConfig) -> DataFrame:
+    """The steps that a walk can take: the best of each node, and the best of a hub among the types that it expands to.
+
+    Which neighbours of a node are taken doesn't depend on the question, so a node with very many is cut once, not for every question that comes by it.
+    """
+    most, best_first = max(cfg.fan_out, cfg.hub_fan_out), [F.desc("w"), priority, "dst", "kind"]
+    allowed = F.col("to_type").isin(*cfg.hub_expands)
+    ranks = {"__any": F.row_number().over(W.partitionBy("src").orderBy(*best_first)), "__hub": F.row_number().over(W.partitionBy("src", allowed).orderBy(*best_first))}
+    return steps.withColumns(ranks).filter((F.col("__any") <= most) | allowed & (F.col("__hub") <= most)).drop("__any", "__hub")
+
+
 def held(df: DataFrame) -> DataFrame:
     """A level that later ones read several times: written to the session's checkpoint folder if it has one, else cached (and made anew if lost)."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def walk(nodes: DataFrame, edges: DataFrame, entries: DataFrame, cfg: WalkConfig = WalkConfig()) -> DataFrame:
-    """(query_id, concept_id, score, hop, via, position); nodes: concept_id, entity_type; entries: query_id, concept_id, pos."""
+def walk(nodes: DataFrame, edges: DataFrame, entries: DataFrame, cfg: WalkConfig = WalkConfig(), many: bool = False) -> DataFrame:
+    """(query_id, concept_id, score, hop, via, position); nodes: concept_id, entity_type; entries: query_id, concept_id, pos.
+
+    With ``many`` queries the steps are cut to the best of each node before they meet the queries (``best_steps``); the result is the same.
+    """
     kinds = nodes.select("concept_id", "entity_type")
     priority = F.coalesce(F.create_map(*[F.lit(x) for k, t in enumerate(cfg.type_priority) for x in (t, k)])[F.col("to_type")], F.lit(99)) if cfg.type_priority else F.lit(99)
     steps = neighbours(edges, cfg.reverse_factor).join(kinds.select(F.col("concept_id").alias("dst"), F.col("entity_type").alias("to_type")), "dst")
+    steps = held(best_steps(steps, priority, cfg)) if many else steps
     level = entries.join(kinds, "concept_id").select("query_id", F.col("pos").alias("ord"), "concept_id", "entity_type", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"))
     accepted, known = None, None
     for hop in range(cfg.max_hops + 1):

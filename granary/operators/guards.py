@@ -33,7 +33,12 @@ def invalid_citations(answer: Column, sources: Column) -> Column:
 
 def mismatched_figures(answer: Column, truth: Column) -> Column:
     """Rate-shaped figures (percent, unit or currency) of the answer that the record lacks."""
-    return F.array_except(F.filter(figures(answer), lambda f: f.rlike("%|crore|lakh|rupee")), figures(truth))
+    return mismatched(figures(answer), truth)
+
+
+def mismatched(found: Column, truth: Column) -> Column:
+    """``mismatched_figures`` of an answer's figures."""
+    return F.array_except(F.filter(found, lambda f: f.rlike("%|crore|lakh|rupee")), figures(truth))
 
 
 def undisclosed(answer: Column, ids: Column) -> Column:

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alnum_words, sigmoid
 from . import sparse
+from .graph import held
 
 RRF_K, DENSE_TOP, SPARSE_TOP, SHORTLIST, CONTEXT = 60, 30, 30, 12, 6
 DOMINANCE = 0.15
 MOST_QUERIES, QUERY_CHUNK = 10_000, 256
+MOST_IDS = 200_000  # so many keys at most are sent to every task
 DEFAULT_THRESHOLDS = (0.15, 0.35)
 
 
@@ -138,6 +140,25 @@ def lexical_pair_score(query_text: Column, doc_text: Column) -> Column:
     return 8 * F.size(F.array_intersect(q, alnum_words(doc_text))) / F.greatest(F.size(q), F.lit(1)) - 4
 
 
+def lexical_pairs(pairs: DataFrame, questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (query_id, doc_id) with the other columns of ``texts`` (doc_id, text, ...) and the logit of ``lexical_pair_score``.
+
+    A text is split into words once, however many questions have found it, and meets their words by an equi-join; no text stands beside a pair.
+    """
+    pairs = held(pairs)
+    ids = held(pairs.select("doc_id").distinct())
+    # rows that share an id keep their own words
+    found = texts.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi").withColumn("__mark", F.xxhash64("text"))
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism  # few long texts are not put into one task
+    whole = found.select("doc_id", "__mark", "text").repartition(tasks, "__mark").dropDuplicates(["doc_id", "__mark"])
+    there = whole.select("doc_id", "__mark", F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("word"))
+    words = held(questions.select("query_id", F.array_distinct(alnum_words(F.col("text"))).alias("words")))
+    asked = pairs.join(words, "query_id").select("query_id", "doc_id", F.explode("words").alias("word"))
+    shared = asked.join(there, ["doc_id", "word"]).groupBy("query_id", "doc_id", "__mark").agg(F.count("*").cast("int").alias("__n"))
+    out = pairs.join(words.select("query_id", F.size("words").alias("__size")), "query_id").join(found.drop("text"), "doc_id").join(shared, ["query_id", "doc_id", "__mark"], "left")
+    return out.withColumn("logit", 8 * F.coalesce("__n", F.lit(0)) / F.greatest("__size", F.lit(1)) - 4).drop("__n", "__size", "__mark")
+
+
 def rerank(candidates: DataFrame, top: int = SHORTLIST, logit: Column | None = None) -> DataFrame:
     """candidates: query_id, doc_id, query_text, text; score is the sigmoid of the pair's logit."""
     x = lexical_pair_score(F.col("query_text"), F.col("text")) if logit is None else logit

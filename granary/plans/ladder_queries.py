@@ -95,12 +95,11 @@ def knowledge(s, d) -> A.Knowledge:
 
     def retrieve(asked: DataFrame) -> DataFrame:
         found = R.sparse_search(c.select("doc_id", "text"), asked).filter(F.col("rank") <= R.SHORTLIST).select("query_id", "doc_id")
-        # texts come last, so that none is shuffled with its pairs
-        pairs = found.join(asked.withColumnRenamed("text", "query_text"), "query_id").join(c.select("doc_id", "text", F.col("document").alias("source_type")), "doc_id")
-        return R.rerank(pairs).drop("text", "query_text")
+        pairs = R.lexical_pairs(found, asked, c.select("doc_id", "text", F.col("document").alias("source_type")))
+        return R.rerank(pairs, logit=F.col("logit")).drop("logit")
 
     def walk(asked: DataFrame, seeds: DataFrame) -> DataFrame:
-        return G.walk(n, e, G.held(G.entry_points(asked, aliases, seeds)), G.WalkConfig(type_priority=PRIORITY)).select("query_id", "concept_id", "score", "position")
+        return G.walk(n, e, G.held(G.entry_points(asked, aliases, seeds)), G.WalkConfig(type_priority=PRIORITY), many=True).select("query_id", "concept_id", "score", "position")
 
     return A.Knowledge(records(s, d), register(s, d), retrieve, c, n, walk, s.createDataFrame(THRESHOLDS, "source_type string, tau_hard double, tau_soft double"), DOCUMENT)
 

@@ -5,6 +5,7 @@ The defaults make plans testable without model files; they claim no model qualit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,10 +51,22 @@ def verbatim_generator(question: str, sources: list[str]) -> str:
     return f"{sources[0]} [S1]" if sources else ""
 
 
-def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verbatim_generator, out: str = "answer", kept: tuple[str, ...] = ()) -> DataFrame:
-    """rows: query_id, question, sources array<string> -> query_id, answer and the columns ``kept``. A generator that fails once is asked again, then the first source is quoted."""
+#: How many first sources a generator looks at; one that doesn't say so is given all.
+verbatim_generator.reads = 1
+
+
+def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verbatim_generator, out: str = "answer", kept: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """rows: query_id, question, sources array<string> -> query_id, answer and the columns ``kept``. A generator that fails once is asked again, then the first source is quoted.
+
+    With ``once`` also ``mark``, the answer's SHA-256, and an answer that the task has given before is null.
+    """
+
+    def marked(answers: list, seen: set) -> dict[str, list]:
+        marks = [None if a is None else hashlib.sha256(a.encode("utf-8", "surrogatepass")).hexdigest() for a in answers]
+        return {out: [None if m in seen else seen.add(m) or a for m, a in zip(marks, answers, strict=True)], "mark": marks}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
         for b in batches:
             answers = []
             for q, s in zip(b["question"], b["sources"], strict=True):
@@ -65,11 +78,11 @@ def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verba
                         answers.append(generator(q, s))
                     except Exception:
                         answers.append(verbatim_generator(q, s))
-            yield pd.DataFrame({"query_id": b["query_id"], out: answers} | {c: b[c] for c in kept})
+            yield pd.DataFrame({"query_id": b["query_id"]} | (marked(answers, seen) if once else {out: answers}) | {c: b[c] for c in kept})
 
     kind = rows.schema["query_id"].dataType.simpleString()
     passed = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select("query_id", "question", "sources", *kept).mapInPandas(run, f"query_id {kind}, {out} string{passed}")
+    return rows.select("query_id", "question", "sources", *kept).mapInPandas(run, f"query_id {kind}, {out} string{', mark string' if once else ''}{passed}")
 
 
 def transliterate(text):

@@ -105,3 +105,19 @@ def test_transliteration_is_optional(spark):
     from granary.providers import transliterate
 
     assert spark.createDataFrame([("namaste",), (None,)], "t string").select(transliterate(F.col("t"))).collect() == [(None,), (None,)]
+
+
+@pytest.mark.parametrize("caps", [{}, {"max_nodes": 9, "fan_out": 2, "hub_fan_out": 3}])
+def test_walk_of_many_queries_equals_the_walk(spark, caps):
+    r = random.Random(5)
+    kinds = {f"n{k}": r.choice(G.TYPE_PRIORITY[-4:] + G.TYPE_PRIORITY[:2]) for k in range(60)}
+    edges = sorted({(f"n{r.randrange(6)}", f"n{r.randrange(60)}", k) for k in r.choices(list(G.EDGE_WEIGHTS), k=400)})
+    nodes = spark.createDataFrame(list(kinds.items()), "concept_id string, entity_type string")
+    e = spark.createDataFrame([(a, b, k, G.EDGE_WEIGHTS[k]) for a, b, k in edges if a != b], "src string, dst string, kind string, w double")
+    starts = spark.createDataFrame([(q, f"n{r.randrange(60)}", p) for q in range(40) for p in range(1, 4)], "query_id long, concept_id string, pos int").dropDuplicates(["query_id", "concept_id"])
+    cfg = G.WalkConfig(**caps)
+    rows = lambda many: sorted(map(tuple, G.walk(nodes, e, starts, cfg, many).collect()))
+    assert rows(True) == rows(False)
+    steps = G.neighbours(e, cfg.reverse_factor).join(nodes.select(F.col("concept_id").alias("dst"), F.col("entity_type").alias("to_type")), "dst")
+    most = max(x["count"] for x in G.best_steps(steps, F.lit(0), cfg).groupBy("src").count().collect())
+    assert most <= 2 * max(cfg.fan_out, cfg.hub_fan_out) < max(x["count"] for x in steps.groupBy("src").count().collect())

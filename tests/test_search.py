@@ -91,3 +91,16 @@ def test_empty_index(spark, texts, tmp_path):
     IX.build(texts.limit(0), str(tmp_path / "ix"))
     asked = R.postings(spark.createDataFrame([(0, "w3")], "query_id long, text string"), "query_id")
     assert IX.search(spark, str(tmp_path / "ix"), asked)[0].count() == 0
+
+
+def test_pairs_are_scored_by_words_that_are_split_once(spark):
+    r = random.Random(3)
+    word = lambda: r.choice(["Aid", "rate", "x1", "of", "é", "micro-unit", "", "20%"])
+    texts = [(i, None if i == 4 else " ".join(word() for _ in range(r.randrange(30))), f"s{i}") for i in range(20)] + [(3, "again a rate", "t"), (3, "again a rate", "t"), (4, "aid", "u")]
+    asked = [(f"q{k}", " ".join(word() for _ in range(r.randrange(6)))) for k in range(30)]
+    pairs = spark.createDataFrame([(q, i) for q, _ in asked for i in r.sample(range(22), 5)], "query_id string, doc_id long")
+    t, q = spark.createDataFrame(texts, "doc_id long, text string, source_type string"), spark.createDataFrame(asked, "query_id string, text string")
+    plain = pairs.join(q.withColumnRenamed("text", "query_text"), "query_id").join(t, "doc_id").withColumn("logit", R.lexical_pair_score(F.col("query_text"), F.col("text")))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "source_type", "logit").collect()))
+    got = R.lexical_pairs(pairs, q, t)
+    assert "text" not in got.columns and rows(got) == rows(plain)

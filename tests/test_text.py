@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,18 @@ def test_capitals_are_those_of_sql(spark):
     every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
     for text in (every, "Straße ﬁn\nŉ ß", "plain", "", None):
         assert one(spark, T.simple_upper, text) == duckdb.execute("SELECT upper(?::VARCHAR)", [text]).fetchall()[0][0]
+
+
+def test_figures_of_joined_texts_come_from_their_parts(spark):
+    rng = random.Random(7)
+    bits = ["12", "5,00", "₹", "Rs.", "Rs", "rs.,", "INR", "rupee", "crore", "croe", "lakhs", "%", "kw", "a", "the", "word", "end.", "x%%%", "[S1]", "7[S2]", "३४", "करोड़", "लाख", "\n", "\t", " ", "\n\n", "3.5", ",", "Kw!!", "rate]"]
+    text = lambda: "".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(16))) if rng.random() < 0.95 else None
+    rows = [(k, [text() for _ in range(rng.randrange(1, 5))]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, texts array<string>").withColumn("whole", T.figures(F.array_join("texts", "\n")))
+    parts = df.select("k", "whole", F.posexplode("texts").alias("pos", "t")).withColumn("p", T.figure_parts(F.col("t")))
+    lists = parts.groupBy("k", "whole").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("x"))
+    edges = T.figures(F.array_join(F.transform("x", lambda s: s["p"]["edge"]), "\n"))
+    inner = F.flatten(F.transform("x", lambda s: s["p"]["figures"]))
+    got = lists.select(F.array_sort("whole").alias("a"), F.array_sort(F.array_union(inner, edges)).alias("b"), F.exists("x", lambda s: F.size(s["p"]["figures"]) > 0).alias("c")).collect()
+    assert len(got) == len(rows) and all(r.a == r.b for r in got)
+    assert sum(r.c for r in got) > 500  # not all is edge
