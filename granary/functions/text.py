@@ -60,6 +60,11 @@ def alnum(c: Column) -> Column:
     return F.array_join(all_matches(F.lower(c), "[a-z0-9]+"), " ")
 
 
+def alnum_plain(c: Column) -> Column:
+    """The words of ``alnum_words`` with single blanks between, and perhaps one at an end."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+
+
 def alnum_words(c: Column) -> Column:
     return all_matches(F.lower(c), "[a-z0-9]+")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum_words, sigmoid
+from ..functions.text import alnum_plain, alnum_words, sigmoid
 from . import sparse
 from .graph import held
 
@@ -116,7 +116,7 @@ def sparse_topk(doc_postings: DataFrame, query_postings: DataFrame, k: int = SPA
 def sparse_search(texts: DataFrame, questions: DataFrame, k: int = SPARSE_TOP) -> DataFrame:
     """sparse_topk over texts (doc_id, text) and questions (query_id, text), in blocks of documents: no pair of query and document is written."""
     named = sparse.vectors(postings(questions, "query_id"))
-    rows = sparse.merged(texts).select("doc_id", alnum_words(F.col("text")).alias("words"))
+    rows = sparse.merged(texts).select("doc_id", alnum_plain(F.col("text")).alias("plain"))
     return sparse.best_of(sparse.products(rows, named, k), named, k)
 
 

@@ -104,3 +104,23 @@ def test_pairs_are_scored_by_words_that_are_split_once(spark):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "source_type", "logit").collect()))
     got = R.lexical_pairs(pairs, q, t)
     assert "text" not in got.columns and rows(got) == rows(plain)
+
+
+def test_few_words_at_a_time_give_the_same_rows(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [(i, None if i % 50 == 7 else " ".join(f"w{min(r.randrange(40), r.randrange(40))}" for _ in range(r.randrange(1, 200) if i % 9 else 900))) for i in range(700)]
+    asked = [(q, " ".join(f"w{r.randrange(45)}" for _ in range(r.randrange(1, 8)))) for q in range(60)]
+    t, q = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    want = sorted(map(tuple, R.sparse_topk(R.postings(t, "doc_id"), R.postings(q, "query_id"), 5).collect()))
+    named = S.vectors(R.postings(q, "query_id"))
+    both = t.select("doc_id", R.alnum_words(F.col("text")).alias("words")).toArrow(), t.select("doc_id", R.alnum_plain(F.concat(F.lit("- "), "text", F.lit(" É."))).alias("plain")).toArrow()
+    for words, rows in ((w, x) for w in (300, 1 << 20) for x in both):
+        monkeypatch.setattr(S, "WORDS", words)
+        seen = []
+        monkeypatch.setattr(S.pc, "index_in", lambda x, plain=S.pc.index_in, **k: (seen.append(len(x)), plain(x, **k))[1])
+        heads = named.filter("query_id = first").select(F.col("query_id").alias("first"), F.col("vector.token").alias("tokens"), F.col("vector.tf").alias("tfs")).toArrow()
+        out = spark.createDataFrame([x for b in S.block_scores(heads, 5, 16)(rows.combine_chunks().to_batches()) for x in b.to_pylist()], "first long, doc_id long, score double, blocks long, scored long")
+        monkeypatch.undo()
+        got = sorted(map(tuple, S.best_of(out, named, 5).select("query_id", "doc_id", "score", "rank").collect()))
+        assert got == want
+        assert (max(seen) < 16 * 910 + 300 and len(seen) > 10) if words == 300 else len(seen) == 1  # a block at a time, or the whole batch
