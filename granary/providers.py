@@ -46,6 +46,16 @@ def encode(rows: DataFrame, key: str, text: str, encoder: Encoder | None = None)
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
+def give_back() -> None:
+    """Hand memory that numpy and Arrow have freed back to the system: workers are kept for later stages, which would add theirs to it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def verbatim_generator(question: str, sources: list[str]) -> str:
     """Offline generator: quotes the first source."""
     return f"{sources[0]} [S1]" if sources else ""
@@ -69,6 +79,7 @@ def generate(rows: DataFrame, generator: Callable[[str, list[str]], str] = verba
         seen: set = set()
         for b in batches:
             answers = []
+            give_back()
             for q, s in zip(b["question"], b["sources"], strict=True):
                 s = [] if s is None else list(s)
                 try:
